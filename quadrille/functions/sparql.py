@@ -107,8 +107,8 @@ class Library:
         return F.when(numbers, self.number(a) == self.number(b)).otherwise(plain(a) == plain(b))
 
     def less(self, a: Value, b: Value, op: Callable[[Column, Column], Column]) -> Column:
-        numbers = self.is_numeric(a) & self.is_numeric(b)
-        return F.when(numbers, op(self.number(a), self.number(b))).otherwise(op(self.text(a), self.text(b)))
+        x, y = self.is_numeric(a), self.is_numeric(b)  # a number and anything else don't compare
+        return F.when(x & y, op(self.number(a), self.number(b))).when(~x & ~y, op(self.text(a), self.text(b)))
 
     def arithmetic(self, op: str, a: Value, b: Value) -> Value:
         x, y = self.number(a), self.number(b)

@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.queries import problems
+from quadrille.queries import problems, reference
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES}
-ORACLE: dict[str, str] = {**problems.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES, **reference.QUERIES}
+ORACLE: dict[str, str] = {**problems.ORACLE, **reference.ORACLE}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p3_found(spark, sf_dir)
+flagship = reference.flagship

@@ -30,7 +30,7 @@ def unescape(c: Column) -> Column:
         # A pair of surrogates written as two escapes is one character.
         part = F.regexp_replace(part, r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})", r"\\P$1$2")
         part = coded(part, "P", 8, "UTF-16BE")
-        part = coded(coded(part, "U", 8, "UTF-32BE"), "u", 4, "UTF-16BE")
+        part = coded(coded(part, "U", 8, "UTF-32"), "u", 4, "UTF-16BE")
         for letter, char in NAMED_ESCAPES.items():
             part = F.replace(part, F.lit("\\" + letter), F.lit(char))
         return part

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -216,7 +217,8 @@ class Evaluator:
         if kind == "var":
             return Value(look(e[1]))
         if kind == "const":
-            return Value(F.lit(e[1]))
+            whole = re.fullmatch(r'"([+-]?\d{1,18})"\^\^' + re.escape(self.vocab("xsd:integer")), e[1])
+            return Value(F.lit(int(whole[1])).cast("long"), "int") if whole else Value(F.lit(e[1]))
         if kind == "int":
             return Value(F.lit(e[1]).cast("long"), "int")
         if kind == "and":

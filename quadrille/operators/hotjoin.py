@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key counts as hot above this share of all probe rows, so there are at most 1/HOT_SHARE hot keys.
 HOT_SHARE = 1 / 256
+#: Rows one task can take even if all have one key.
+EVEN_ROWS = 500_000
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
@@ -15,8 +17,11 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, tot
     ``counts(key, n)`` holds how many rows of ``left`` each key has, ``total`` their sum.  Keys with
     more than ``HOT_SHARE`` of the rows - at most 256 of them, whatever the size of the data - are
     joined by broadcasting their rows of ``right`` and so never shuffled; the rest is an ordinary
-    shuffled join.  Null keys match nothing.
+    shuffled join, as is the whole if ``left`` is small enough for one task.  Null keys match nothing.
+    ``left`` is read three times, so let it be a table.
     """
+    if total <= EVEN_ROWS:
+        return left.join(right, key)
     hot = F.broadcast(counts.where(F.col("n") > max(64.0, total * HOT_SHARE)).select(key))
     head = left.join(F.broadcast(right.join(hot, key, "left_semi")), key)
     tail = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key)

@@ -10,6 +10,7 @@ statement they come from.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,7 +87,7 @@ def rdfs(
     sc = transitive(sub_c, scratch) if on("rdfs11") else scratch.table(sub_c.select("a", "b").distinct())
     dom = scratch.table(pick("rdfs:domain").unionByName(axiom([(p, d) for p, d, _ in SIGNATURES])).distinct())
     rng = scratch.table(pick("rdfs:range").unionByName(axiom([(p, r) for p, _, r in SIGNATURES])).distinct())
-    sc = sc.join(class_kind, "b", "left").withColumn("bk", F.coalesce("bk", F.lit(0).cast("tinyint")))
+    sc = scratch.table(sc.join(class_kind, "b", "left").withColumn("bk", F.coalesce("bk", F.lit(0).cast("tinyint"))))
     type_, none = v("rdf:type"), F.lit(None).cast("string")
 
     def fact(frame: DataFrame, s: Column, sk: Column, p: Column | str, o: Column | str, ok: Column | int = IRI) -> DataFrame:
@@ -97,29 +98,32 @@ def rdfs(
     resource = ok < LITERAL
 
     def stratum(data: DataFrame) -> DataFrame:
+        """Everything the closed schema gives for ``data``; each step is written once, as it is read often."""
         props = data
         if on("rdfs7"):
-            props = data.unionByName(data.join(sp, F.col("p") == F.col("a")).withColumn("p", F.col("b")).select(*QUAD)).distinct()
+            props = data.unionByName(data.join(sp, F.col("p") == F.col("a")).withColumn("p", F.col("b")).select(*QUAD))
+        props = scratch.table(props.distinct())
         types = [props.where((F.col("p") == type_) & resource)]
+        # Domains and ranges only look at what a type comes from, each once.
+        uses = props.select("s", "s_kind", "p", "g", "g_kind").distinct()
         if on("rdfs2"):
-            types.append(fact(props.join(dom, F.col("p") == F.col("a")), s, sk, type_, F.col("b"), F.col("bk")))
+            types.append(fact(uses.join(dom, F.col("p") == F.col("a")), s, sk, type_, F.col("b"), F.col("bk")))
         if on("rdfs3"):
-            types.append(fact(props.where(resource).join(rng, F.col("p") == F.col("a")), o, ok, type_, F.col("b"), F.col("bk")))
+            ends = props.where(resource).select("p", "o", "o_kind", "g", "g_kind").distinct()
+            types.append(fact(ends.join(rng, F.col("p") == F.col("a")), o, ok, type_, F.col("b"), F.col("bk")))
         if on("rdfs4a"):
-            types.append(fact(props, s, sk, type_, v("rdfs:Resource")))
+            types.append(fact(uses.select("s", "s_kind", "g", "g_kind").distinct(), s, sk, type_, v("rdfs:Resource")))
         if on("rdfs4b"):
             types.append(fact(props.where(resource), o, ok, type_, v("rdfs:Resource")))
         if on("rdfd2"):
             types.append(fact(props.select("p", "g", "g_kind").distinct(), F.col("p"), iri0, type_, v("rdf:Property")))
         if on("rdfs1"):
             types.append(fact(props.where("o_dt IS NOT NULL").select("o_dt", "g", "g_kind").distinct(), F.col("o_dt"), iri0, type_, v("rdfs:Datatype")))
-        typed = types[0]
-        for t in types[1:]:
-            typed = typed.unionByName(t)
-        typed = typed.distinct()
+        typed = scratch.table(reduce(DataFrame.unionByName, types).distinct())
+        out = props.unionByName(typed)
         if on("rdfs9"):
-            typed = typed.unionByName(fact(typed.join(sc, o == F.col("a")), s, sk, type_, F.col("b"), F.col("bk"))).distinct()
-        return props.unionByName(typed).distinct()
+            out = out.unionByName(fact(typed.join(sc, o == F.col("a")), s, sk, type_, F.col("b"), F.col("bk")))
+        return out.distinct()
 
     def tail(data: DataFrame) -> DataFrame:
         """Statements about classes and properties that the types in ``data`` call for."""
@@ -155,7 +159,7 @@ def rdfs(
         data = known[0]
         for k in known[1:]:
             data = data.unionByName(k)
-        fresh = stratum(tail(delta).unionByName(delta).distinct())
+        fresh = stratum(scratch.table(tail(delta).unionByName(delta).distinct()))
         cond = [data[c].eqNullSafe(fresh[c]) for c in QUAD]
         new, n = scratch.counted(fresh.join(data, cond, "left_anti"))
         if not n["rows"]:

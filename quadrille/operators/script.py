@@ -120,13 +120,13 @@ def script(df: DataFrame, source: str, args: tuple = (), pooled: bool = True, vo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         live = Script(source, args, vocab, prefixes)
-        live.call("start", 0)
+        live.call("start")
         for pdf in batches:
             pdf = pdf.astype(object).where(pdf.notna(), None)
             for r in pdf.itertuples(index=False):
                 live.handle(r)
             yield live.drain()
-        live.call("end", 0)
+        live.call("end")
         yield live.drain()
 
     df = as_quads(df)

@@ -22,6 +22,8 @@ from quadrille.storage import Scratch, fingerprint
 COLS = ["s", "p", "o", "g", "scope"]
 #: Tables of known statements before they are merged into one.
 MANY = 5
+#: Distinct predicates and (type, class) pairs looked at to leave out rules that can't fire.
+SHAPES = 20_000
 
 
 def _bind(data: DataFrame, pattern: Pattern, graph: str | None) -> DataFrame:
@@ -40,6 +42,29 @@ def _bind(data: DataFrame, pattern: Pattern, graph: str | None) -> DataFrame:
     return out if graph else out.distinct() if len(cols) < 3 else out
 
 
+class Shapes:
+    """Which constant predicates and classes occur in some statements; unknown if there are too many."""
+
+    def __init__(self, data: DataFrame, type_names: set[str]):
+        o = F.when(F.col("p").isin(sorted(type_names)), F.col("o")) if type_names else F.lit(None).cast("string")
+        rows = data.select("p", o.alias("o")).distinct().limit(SHAPES + 1).collect()
+        self.known = len(rows) <= SHAPES
+        self.types = type_names
+        self.predicates, self.pairs = {r[0] for r in rows}, {(r[0], r[1]) for r in rows}
+
+    def may_match(self, pattern: Pattern) -> bool:
+        _, p, o = pattern
+        if not self.known or p.startswith("?"):
+            return True
+        return p in self.predicates and (p not in self.types or o.startswith("?") or (p, o) in self.pairs)
+
+    def add(self, other: "Shapes") -> "Shapes":
+        self.known &= other.known
+        self.predicates |= other.predicates
+        self.pairs |= other.pairs
+        return self
+
+
 def _order(patterns: Sequence[Pattern], first: int) -> list[int]:
     """Start with ``first``, then always a pattern that shares a variable, most constants first."""
     left, out = [i for i in range(len(patterns)) if i != first], [first]
@@ -53,13 +78,20 @@ def _order(patterns: Sequence[Pattern], first: int) -> list[int]:
     return out
 
 
-def solutions(rule: Rule, data: DataFrame, delta: DataFrame | None, mode: str) -> Iterable[DataFrame]:
-    """Solutions of the body; with ``delta`` those that use at least one statement of it."""
+def solutions(rule: Rule, data: DataFrame, delta: DataFrame | None, mode: str, shapes: Shapes | None = None, fresh: Shapes | None = None) -> Iterable[DataFrame]:
+    """Solutions of the body; with ``delta`` those that use at least one statement of it.
+
+    Bodies with a pattern nothing can match (by ``shapes`` of all and ``fresh`` of new statements) give none.
+    """
     n = len(rule.where)
+    if shapes is not None and not all(shapes.may_match(p) for p in rule.where):
+        return
     if n == 0:
         yield data.sparkSession.createDataFrame([("",)], "`?scope` string")
         return
     for at in range(n) if delta is not None else (0,):
+        if fresh is not None and not fresh.may_match(rule.where[at]):
+            continue
         out = None
         for i in _order(rule.where, at):
             graph = "?graph" if mode == "separate" else f"?graph{i}" if mode == "star" else None
@@ -112,20 +144,22 @@ class RuleEngine:
                 out.append([r])
         return out
 
-    def _infer(self, rules: list[Rule], data: DataFrame, delta: DataFrame | None) -> DataFrame | None:
+    def _infer(self, rules: list[Rule], data: DataFrame, delta: DataFrame | None, shapes: Shapes | None = None, fresh: Shapes | None = None) -> DataFrame | None:
         parts = []
         for r in rules:
-            for found in solutions(r, data, delta, self.mode) if r.insert else ():
+            for found in solutions(r, data, delta, self.mode, shapes, fresh) if r.insert else ():
                 parts.append(_heads(r, r.insert, found, self.mode, self.target))
         return reduce(DataFrame.unionByName, parts).distinct() if parts else None
 
     def _semi_naive(self, rules: list[Rule], known: DataFrame, scratch: Scratch) -> DataFrame:
         tables, delta, first = [known], None, True
+        names = {p[1] for r in rules for p in r.where if not p[1].startswith("?") and not p[2].startswith("?")}
+        shapes, fresh_shapes = Shapes(known, names), None
         while True:
             data = reduce(DataFrame.unionByName, tables)
             # In the first round everything is new; rules without a body only fire there.
             active = [r for r in rules if first or r.where]
-            fresh = self._infer(active, data, None if first else delta)
+            fresh = self._infer(active, data, None if first else delta, shapes, fresh_shapes)
             if fresh is None:
                 break
             new, n = scratch.counted(fresh.join(data, COLS, "left_anti"))
@@ -134,6 +168,8 @@ class RuleEngine:
                 break
             tables.append(new)
             delta, first = new, False
+            fresh_shapes = Shapes(new, names)
+            shapes.add(fresh_shapes)
             if len(tables) > MANY:
                 merged = scratch.table(reduce(DataFrame.unionByName, tables))
                 scratch.drop(*[t for t in tables if t is not delta])

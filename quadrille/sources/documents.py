@@ -321,7 +321,8 @@ class JsonLd:
         prefix, sep, local = name.partition(":")
         if sep and not local.startswith("//") and prefix in ctx:
             d = ctx[prefix]
-            return self.expand(d["@id"] if isinstance(d, dict) else d, ctx, True) + local
+            d = d["@id"] if isinstance(d, dict) else d
+            return (d if d.partition(":")[0] == prefix else self.expand(d, ctx, True)) + local
         if sep:
             return name
         if vocab:

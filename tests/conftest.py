@@ -12,7 +12,8 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.codegen.wholeStage", "false")  # compiling costs more than these few rows
+        .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

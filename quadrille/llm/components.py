@@ -38,6 +38,12 @@ def small_star(links: DataFrame, scratch: Scratch, total: int) -> DataFrame:
     return moved.unionByName(least.select(F.col("key").alias("hi"), F.col("least").alias("lo"))).distinct()
 
 
+def numbered(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(term, id) for the terms in links: ids are in the order of the terms, so least id is least term."""
+    terms = links.select(F.explode(F.array("hi", "lo")).alias("term")).distinct()
+    return scratch.table(terms.repartitionByRange("term").sortWithinPartitions("term").withColumn("id", F.monotonically_increasing_id()))
+
+
 def connected_groups(pairs: DataFrame) -> DataFrame:
     """(a, b) pairs to (member, rep): ``rep`` is the least member of the group, for all other members.
 
@@ -47,13 +53,21 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(pairs.sparkSession, "groups")
     pairs = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    links = scratch.table(pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    named = scratch.table(pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    # The rounds work on numbers in the order of the terms instead of the terms themselves.
+    terms, links, total = numbered(named, scratch), named, named.count()
+    for col in ("hi", "lo"):
+        table = terms.select(F.col("term").alias(col), F.col("id").alias("number"))
+        links = scratch.table(hot_join(links, table, col, links.groupBy(col).agg(F.count(F.lit(1)).alias("n")), total).drop(col).withColumnRenamed("number", col))
+    links = links.select("hi", "lo")
     mark = fingerprint(links)
     while mark[0]:
         mid = scratch.table(large_star(links, scratch, mark[0]))
         new = scratch.table(small_star(mid, scratch, mark[0]))
-        scratch.keep_only(new)
+        scratch.keep_only(new, terms)
         before, mark, links = mark, fingerprint(new), new
         if mark == before:
             break
-    return links.select(F.col("hi").alias("member"), F.col("lo").alias("rep"))
+    counts = links.groupBy("lo").agg(F.count(F.lit(1)).alias("n"))
+    reps = hot_join(links, terms.select(F.col("id").alias("lo"), F.col("term").alias("rep")), "lo", counts, mark[0])
+    return reps.join(terms.select(F.col("id").alias("hi"), F.col("term").alias("member")), "hi").select("member", "rep")

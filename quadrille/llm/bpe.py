@@ -12,8 +12,12 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +86,32 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+@cache
+def cutter() -> Callable[[str], list[str]]:
+    """The pattern's cut.  The standard library's engine is twice as fast and agrees wherever a text has
+    none of the characters both see differently (numbers that aren't digits, unassigned and separator controls)."""
+    import regex
+
+    exact = regex.compile(PATTERN).findall
+    fast = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+    plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A).findall
+    controls = re.compile("[\x1c-\x1f]").search
+    same: set[str] = set()
+
+    def strange(text: str) -> bool:
+        new = set(text) - same
+        odd = {c for c in new if unicodedata.category(c) in ("No", "Nl", "Cn") or "\x1c" <= c <= "\x1f"}
+        same.update(new - odd)
+        return bool(odd)
+
+    def cut(text: str) -> list[str]:
+        if text.isascii():
+            return (exact if controls(text) else plain)(text)
+        return (exact if strange(text) else fast)(text)
+
+    return cut
+
+
 class _Index(dict):
     """Numbers words in the order of their first look-up."""
 
@@ -94,10 +124,7 @@ class Encoder:
     """A worker's tokenizer: vocabulary, memory-mapped lexicon and the words met so far."""
 
     def __init__(self, ranks: dict[bytes, int], lexicon: Lexicon | None):
-        import regex
-
-        self.ranks, self.lexicon = ranks, lexicon
-        self.cut = regex.compile(PATTERN).findall
+        self.ranks, self.lexicon, self.cut = ranks, lexicon, cutter()
         self._fresh()
 
     def _fresh(self) -> None:
@@ -122,7 +149,7 @@ class Encoder:
         words = [self.cut(t) if t else [] for t in texts]
         per_text = np.fromiter(map(len, words), np.int64, len(words))
         number = self.index.__getitem__
-        code = np.fromiter((number(w) for ws in words for w in ws), np.int64, int(per_text.sum()))
+        code = np.fromiter(map(number, chain.from_iterable(words)), np.int64, int(per_text.sum()))
         self._learn()
         size = self.count[code]
         last = np.cumsum(size)
@@ -180,9 +207,7 @@ def word_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """(word, n) over all texts, counted on the workers before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        cut, held = regex.compile(PATTERN).findall, Counter()
+        cut, held = cutter(), Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])

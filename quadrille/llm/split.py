@@ -20,64 +20,80 @@ from pyspark.sql import functions as F
 from quadrille.llm.bpe import TOKENIZERS, Encoder, build_lexicon, parse_ranks, slices, worker_encoder
 
 LIMIT, OVERLAP = 1024, 64
-SPACE = re.compile(r"\s+")
-BREAK = re.compile("\r\n|[\n\r\x0b\x85\u2028]")
-#: A sentence ends in one of these, closing quotes and brackets after it included.
-SENTENCE = re.compile("[.!?…։۔।。！？:][\"'’”»)\\]]*$")
-WIDE_STOP = re.compile("[。！？]+[」』”]*")
+BREAKS = re.compile("(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])+")
+ONE_BREAK = re.compile("\r\n|[\n\r\x0b\x85\u2028]")
+#: A sentence ends in one of these, closing quotes and brackets after it included, before white space; wide stops need none.
+SENTENCE = re.compile("[.!?…։۔।:][\"'’”»)\\]]*(?=\\s)|[。！？]+[」』”]*")
 LEVELS = ("anywhere", "word", "sentence", "paragraph")
 
 
-def word_levels(text: str, words: list[str]) -> np.ndarray:
-    """For the end of each word what ends there: 3 paragraph, 2 sentence, 1 word, 0 nothing."""
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    level = np.zeros(len(words), np.int8)
-
-    def mark(at: int, value: int) -> None:
-        k = int(np.searchsorted(ends, at))
-        if k < len(ends) and ends[k] == at:
-            level[k] = max(level[k], value)
-
-    for m in SPACE.finditer(text):
-        at, gap = m.start(), m.group()
-        if not at:
-            continue
-        breaks = len(BREAK.findall(gap)) if len(gap) > 1 or gap != " " else 0
-        if breaks >= 2 or "\u2029" in gap or "\x0c" in gap:
-            mark(at, 3)
-        elif breaks or SENTENCE.search(text, max(0, at - 8), at):
-            mark(at, 2)
-        else:
-            mark(at, 1)
-    for m in WIDE_STOP.finditer(text):
-        mark(m.end(), 2)
-    if len(level):
-        level[-1] = 3
-    return level
-
-
-def cuts(total: int, word_end: np.ndarray, level: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, whole=None) -> list[tuple[int, int, int]]:
+class Boundaries:
+    """Where paragraphs, sentences and words of a text end, as numbers of its words; each level is only
+    looked for once it is needed."""
+
+    def __init__(self, text: str, words: list[str]):
+        self.text, self.words = text, words
+        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        self.found: dict[int, np.ndarray] = {}
+
+    def _line_ends(self) -> tuple[list[int], list[int]]:
+        """Ends of paragraphs and of other lines: where white space with line breaks begins."""
+        paragraphs, lines, done, text = [], [], 0, self.text
+        for m in BREAKS.finditer(text):
+            if m.start() < done:
+                continue
+            a, b = m.start(), m.end()
+            while a > done and text[a - 1].isspace():
+                a -= 1
+            while b < len(text) and text[b].isspace():
+                b += 1
+            done, gap = b, text[a:b]
+            if a:
+                many = "\u2029" in gap or "\x0c" in gap or len(ONE_BREAK.findall(gap)) > 1
+                (paragraphs if many else lines).append(a)
+        return paragraphs, lines
+
+    def at(self, level: int) -> np.ndarray:
+        """Sorted numbers of the words that end something of ``level`` (3 paragraph, 2 sentence, 1 word) or more."""
+        if level not in self.found:
+            if level == 3:
+                self.paragraphs, self.lines = self._line_ends()
+                places = self.paragraphs
+            elif level == 2:
+                self.at(3)
+                places = self.paragraphs + self.lines + [m.end() for m in SENTENCE.finditer(self.text)]
+            else:
+                before = np.array([w[0].isspace() for w in self.words[1:]], bool)
+                places = np.concatenate([self.ends[:-1][before & ~np.array([w[-1].isspace() for w in self.words[:-1]], bool)], self.ends[self.at(2)]])
+            at = np.unique(np.array(places, np.int64))
+            k = np.searchsorted(self.ends, at)
+            k = k[k < len(self.ends)]
+            self.found[level] = k[self.ends[k] == at[: len(k)]]
+        return self.found[level]
+
+
+def cuts(total: int, word_end: np.ndarray, found: Boundaries, limit: int = LIMIT, overlap: int = OVERLAP, whole=None) -> list[tuple[int, int, int]]:
     """(first, stop, level) token ranges.  ``word_end``: tokens up to the end of each word.
 
-    ``whole(stop)`` may move a cut inside a word back to the end of a whole character.
+    ``whole(low, high)`` may move a cut inside a word back to the end of a whole character.
     """
-    by_level = [word_end[level >= v] for v in (1, 2, 3)]
     out, at = [], 0
     while total - at > limit:
         low, high = at + overlap, at + limit
-        for v in (2, 1, 0):
-            k = int(np.searchsorted(by_level[v], high, "right")) - 1
-            if k >= 0 and by_level[v][k] > low:
-                stop, kind = int(by_level[v][k]), v + 1
+        for level in (3, 2, 1):
+            ends = word_end[found.at(level)]
+            k = int(np.searchsorted(ends, high, "right")) - 1
+            if k >= 0 and ends[k] > low:
+                stop = int(ends[k])
                 break
         else:
-            stop, kind = high, 0
+            stop, level = high, 0
             k = int(np.searchsorted(word_end, high, "right")) - 1
             if k >= 0 and word_end[k] > low:
                 stop = int(word_end[k])  # between two parts the tokenizer's pattern tells apart
             elif whole is not None:
                 stop = whole(low, high)
-        out.append((at, stop, kind))
+        out.append((at, stop, level))
         at = stop - overlap
     out.append((at, total, 3))
     return out
@@ -95,7 +111,7 @@ def split_text(text: str, words: list[str], size: np.ndarray, ids: np.ndarray, t
                 return stop
         return high
 
-    return cuts(len(ids), np.cumsum(size), word_levels(text, words), limit, overlap, whole)
+    return cuts(len(ids), np.cumsum(size), Boundaries(text, words), limit, overlap, whole)
 
 
 _TOKENS: dict = {}
@@ -153,4 +169,4 @@ def split_oversized(docs: DataFrame, key: str = "doc_id", column: str = "text",
     return docs.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
-__all__ = ["split_oversized", "split_text", "cuts", "word_levels", "parse_ranks"]
+__all__ = ["split_oversized", "split_text", "cuts", "Boundaries", "parse_ranks"]

@@ -74,7 +74,8 @@ def widen(rows: DataFrame, specs: list[tuple[str, str, str]], marks: bool = Fals
     scratch = Scratch(spark, "widen")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = scratch.table(narrow_rows(rows, specs))
-    narrow = scratch.bucketed(one.select("s", "attr", "best"), buckets, ["s"], split="attr")
+    # Partitioned as the buckets are, each task writes one file per attribute.
+    narrow = scratch.bucketed(one.select("s", "attr", "best").repartition(buckets, "s"), buckets, ["s"], split="attr")
     spine = scratch.bucketed(one.select("s").distinct(), buckets, ["s"])
     scratch.drop(one)
 

@@ -29,8 +29,6 @@ def read_quads(spark: SparkSession, *locations: str, base: str = "", rewrite_bno
         found, codecs = format_of(where)
         if (form or found) in LINE_FORMATS and not set(codecs) - {"gz", "bz2"}:
             lines.append(where)
-        elif (form or found) in LINE_FORMATS:
-            raise ValueError(f"{where}: line formats are read plain, gz or bz2")
         else:
             parts.append(read_documents(spark, where, form=form, base=base_iri(base), rewrite_bnodes=rewrite_bnodes))
     if lines:

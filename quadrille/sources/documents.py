@@ -444,7 +444,22 @@ def _scoped(r: Row, tag: str) -> Row:
     return (name(r[0], r[1]), r[1], r[2], name(r[3], r[4]), *r[4:7], name(r[7], r[8]), r[8])
 
 
+def parse_lines_whole(data: bytes, base: str = "") -> list[Row]:
+    """A line format in a file that can't be split, e.g. one packed by xz; malformed lines are dropped."""
+    from quadrille.operators.rejects import RECORD, kind_of, plain, strip
+
+    out = []
+    for line in data.decode("utf-8", "replace").splitlines():
+        if m := RECORD.fullmatch(line):
+            s, p, node, quoted, lang, dt, g = m.groups()
+            term = lambda t: strip(kind_of(t), t)
+            o = term(node) if node else plain(quoted[1:-1], True)
+            out.append(row(term(s), term(p), o, term(g) if g else None, not node, lang[1:] if lang else None, plain(dt[1:-1], False) if dt else None))
+    return out
+
+
 PARSERS: dict[str, Callable] = {
+    "nt": parse_lines_whole, "nq": parse_lines_whole, "tql": parse_lines_whole,
     "ttl": lambda d, b: Turtle(d.decode("utf-8-sig"), b).parse(), "trig": lambda d, b: Turtle(d.decode("utf-8-sig"), b).parse(), "n3": lambda d, b: Turtle(d.decode("utf-8-sig"), b).parse(),
     "rdf": lambda d, b: RdfXml(d, b).parse(), "xml": lambda d, b: RdfXml(d, b).parse(), "owl": lambda d, b: RdfXml(d, b).parse(), "rj": lambda d, b: parse_rdf_json(d.decode(), b),
     "jsonld": lambda d, b: JsonLd(d.decode(), b).parse(), "trix": lambda d, b: parse_trix(d.decode(), b), "geonames": parse_geonames,

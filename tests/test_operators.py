@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import lzma
 import subprocess
 import sys
 
@@ -295,6 +296,8 @@ def test_document_parsers():
     geo = f'http://x/1\n<rdf:RDF xmlns:rdf="{RDF}" xmlns:ex="ex:"><ex:F rdf:about="ex:1"/></rdf:RDF>\n'
     assert len(documents.parse_geonames(geo.encode())) == 1
     assert documents.parse_document(gzip.compress(TTL.encode()), "x.ttl.gz")
+    packed = documents.parse_document(lzma.compress("\n".join(ESCAPES).encode()), "x.nq.xz")
+    assert len(packed) == 6 and packed[0][3] == 'a\tb"c\\dé🚢'
     tagged = documents.parse_document(TRIG.encode(), "f.trig", rewrite_bnodes=True)
     assert all(r[3].startswith("_:xx") for r in tagged if r[4] == 1)
 

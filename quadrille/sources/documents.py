@@ -449,7 +449,7 @@ def parse_lines_whole(data: bytes, base: str = "") -> list[Row]:
     from quadrille.operators.rejects import RECORD, kind_of, plain, strip
 
     out = []
-    for line in data.decode("utf-8", "replace").splitlines():
+    for line in re.split("\r?\n", data.decode("utf-8", "replace")):
         if m := RECORD.fullmatch(line):
             s, p, node, quoted, lang, dt, g = m.groups()
             term = lambda t: strip(kind_of(t), t)

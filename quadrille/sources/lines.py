@@ -9,8 +9,9 @@ from quadrille.model import BNODE, IRI, LITERAL, NIL, QUAD, quad_line
 
 _IRI = r"<((?:[^\x00-\x1f>\\]|\\.)*+)>"
 _BNODE = r"(_:[\p{L}\p{N}_][\p{L}\p{N}\p{M}_.·-]*(?<!\.))"
-_LITERAL = r"""(?:"((?:[^"\\]|\\.)*+)"|'((?:[^'\\]|\\.)*+)')(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*+)|\^\^<((?:[^\x00-\x1f>\\]|\\.)*+)>)?"""
-#: Groups: subject IRI, bnode; predicate; object IRI, bnode, literal in " or ', language, datatype; graph IRI, bnode.
+_LITERAL = r"""(?:(")((?:[^"\\]|\\.)*+)"|(')((?:[^'\\]|\\.)*+)')(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*+)|\^\^<((?:[^\x00-\x1f>\\]|\\.)*+)>)?"""
+#: Groups: subject IRI, bnode; predicate; object IRI, bnode, quote and literal in " or ', language, datatype; graph IRI, bnode.
+GROUPS = 13
 STATEMENT = rf"(?s)^[ \t]*(?:{_IRI}|{_BNODE})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BNODE}|{_LITERAL})[ \t]*(?:{_IRI}|{_BNODE})?[ \t]*\.[ \t]*(?:#.*)?\r?\z"
 NAMED_ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", ">": ">"}
 
@@ -44,10 +45,15 @@ def parse_statements(lines: DataFrame, column: str = "value", nil: str = NIL, fi
     Use ``operators.rejects`` where malformed lines have to be reported.  A graph ``sesame:nil`` is the
     default graph.  ``file`` (an expression) makes blank node names unique per file.
     """
+    # One match a line: its groups are written out with separators and split; a separator that is part
+    # of the text is escaped before and restored after.
     line = F.col(column)
-    text = lines.where(line.rlike(STATEMENT))
-    g = lambda n: F.regexp_extract(line, STATEMENT, n)
-    parts = text.select(*[g(i).alias(f"x{i}") for i in range(1, 12)], F.trim(line).alias("raw"), *( [file.alias("file")] if file is not None else []))
+    own = line.rlike("[\x1e\x1f]")
+    line = F.when(own, F.replace(F.replace(line, F.lit("\x1e"), F.lit("\x1e0")), F.lit("\x1f"), F.lit("\x1e1"))).otherwise(line)
+    laid = F.regexp_replace(line, STATEMENT, "".join(f"\x1f${i}" for i in range(1, GROUPS + 1)))
+    parts = lines.select(F.split(laid, "\x1f").alias("x"), own.alias("own"), *([file.alias("file")] if file is not None else [])).where(F.size("x") == GROUPS + 1)
+    back = lambda c: F.when(F.col("own"), F.replace(F.replace(c, F.lit("\x1e1"), F.lit("\x1f")), F.lit("\x1e0"), F.lit("\x1e"))).otherwise(c)
+    parts = parts.select(*[back(F.try_element_at("x", F.lit(i + 1))).alias(f"x{i}") for i in range(1, GROUPS + 1)], *(["file"] if file is not None else []))
     some = lambda n: F.when(F.col(f"x{n}") != "", F.col(f"x{n}"))
 
     def node(iri: int, bnode: int) -> Column:
@@ -56,14 +62,14 @@ def parse_statements(lines: DataFrame, column: str = "value", nil: str = NIL, fi
             name = F.concat(F.lit("_:b"), F.substring(F.sha2(F.concat_ws("|", name, "file"), 256), 1, 24))
         return F.when(F.col(f"x{bnode}") != "", name).otherwise(unescape(F.col(f"x{iri}")))
 
-    literal = (F.col("x4") == "") & (F.col("x5") == "") & ~F.col("raw").rlike(r"(?s)^\s*(?:<[^>]*>|_:\S+)\s*<(?:[^>\\]|\\.)*>\s*<>")
+    literal = (F.col("x6") != "") | (F.col("x8") != "")
     kind = lambda bnode: F.when(F.col(f"x{bnode}") != "", BNODE).otherwise(IRI).cast("tinyint")
-    graph = F.when((F.col("x10") != "") | (F.col("x11") != ""), node(10, 11))
+    graph = F.when((F.col("x12") != "") | (F.col("x13") != ""), node(12, 13))
     graph = F.when(graph != nil, graph)
     return parts.select(
         node(1, 2).alias("s"), kind(2).alias("s_kind"), unescape(F.col("x3")).alias("p"),
-        F.when(literal, unescape(F.concat("x6", "x7"))).otherwise(node(4, 5)).alias("o"), F.when(literal, LITERAL).otherwise(kind(5)).cast("tinyint").alias("o_kind"),
-        some(8).alias("o_lang"), F.when(F.col("x9") != "", unescape(F.col("x9"))).alias("o_dt"), graph.alias("g"), F.when(graph.isNotNull(), kind(11)).alias("g_kind"),
+        F.when(literal, unescape(F.concat("x7", "x9"))).otherwise(node(4, 5)).alias("o"), F.when(literal, LITERAL).otherwise(kind(5)).cast("tinyint").alias("o_kind"),
+        some(10).alias("o_lang"), F.when(F.col("x11") != "", unescape(F.col("x11"))).alias("o_dt"), graph.alias("g"), F.when(graph.isNotNull(), kind(13)).alias("g_kind"),
     ).select(*QUAD)
 
 

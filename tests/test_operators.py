@@ -261,13 +261,14 @@ def test_pipeline_language(spark, tmp_path):
     assert code("-v") == 0 and code() == 1
 
 
-ESCAPES = ["_:a.b <ex:p> \"a\\tb\\\"c\\\\d\\u00e9\\U0001F6A2\" <ex:g> .", "<ex:s> <ex:p> '' .", "<ex:\\u00e9> <ex:p> \"x\"@en-GB .", "<ex:s> <ex:p> \"1\"^^<ex:t>.", "# c", "", "broken", "<ex:s> <ex:p> \"\\ud83d\\udea2\" .", "<ex:s> <ex:p> <> ."]
+ESCAPES = ["_:a.b <ex:p> \"a\\tb\\\"c\\\\d\\u00e9\\U0001F6A2\" <ex:g> .", "<ex:s> <ex:p> '' .", "<ex:\\u00e9> <ex:p> \"x\"@en-GB .", "<ex:s> <ex:p> \"1\"^^<ex:t>.", "# c", "", "broken", "<ex:s> <ex:p> \"\\ud83d\\udea2\" .", "<ex:s> <ex:p> <> .", "<ex:s> <ex:p> \"a\x1fb\x1e1\" ."]
 
 
 def test_lines_round_trip(spark):
     df = parse_statements(spark.createDataFrame([(x,) for x in ESCAPES], "value string"))
     got = rows(df, *QUAD)
-    assert len(got) == 6 and ("_:a.b", 1, "ex:p", 'a\tb"c\\dé🚢', 2, None, None, "ex:g", 0) in got and ("ex:s", 0, "ex:p", "", 2, None, None, None, None) in got
+    assert ("ex:s", 0, "ex:p", "a\x1fb\x1e1", 2, None, None, None, None) in got
+    assert len(got) == 7 and ("_:a.b", 1, "ex:p", 'a\tb"c\\dé🚢', 2, None, None, "ex:g", 0) in got and ("ex:s", 0, "ex:p", "", 2, None, None, None, None) in got
     assert ("ex:s", 0, "ex:p", "🚢", 2, None, None, None, None) in got and ("ex:s", 0, "ex:p", "", 0, None, None, None, None) in got
     assert rows(parse_statements(to_lines(df)), *QUAD) == got
 
@@ -297,7 +298,7 @@ def test_document_parsers():
     assert len(documents.parse_geonames(geo.encode())) == 1
     assert documents.parse_document(gzip.compress(TTL.encode()), "x.ttl.gz")
     packed = documents.parse_document(lzma.compress("\n".join(ESCAPES).encode()), "x.nq.xz")
-    assert len(packed) == 6 and packed[0][3] == 'a\tb"c\\dé🚢'
+    assert len(packed) == 6 and packed[3][3] == "🚢"  # the stricter name rules leave out the first line
     tagged = documents.parse_document(TRIG.encode(), "f.trig", rewrite_bnodes=True)
     assert all(r[3].startswith("_:xx") for r in tagged if r[4] == 1)
 

@@ -24,6 +24,8 @@ COLS = ["s", "p", "o", "g", "scope"]
 MANY = 5
 #: Distinct predicates and (type, class) pairs looked at to leave out rules that can't fire.
 SHAPES = 20_000
+#: Namespace of helper statements, which never leave the engine.
+HELPER = "urn:quadrille:"
 
 
 def _bind(data: DataFrame, pattern: Pattern, graph: str | None) -> DataFrame:
@@ -100,6 +102,8 @@ def solutions(rule: Rule, data: DataFrame, delta: DataFrame | None, mode: str, s
         for a, op, b in rule.filters:
             value = lambda t: F.col(f"`{t}`") if t.startswith("?") else F.lit(t)
             out = out.where(value(a) != value(b) if op == "!=" else value(a) == value(b))
+        for name, iri, term in rule.mints:
+            out = out.withColumn(name, F.concat(F.lit(iri + "/"), F.col(f"`{term}`") if term.startswith("?") else F.lit(term)))
         yield out
 
 
@@ -226,7 +230,12 @@ def apply_rules(
     elif partition != "none":
         raise ValueError(f"unknown partitioning {partition!r}")
     out = RuleEngine(rules, mode, graph).run(rel)
-    out = out.where(~F.col("p").startswith("urn:quadrille:")).select("s", "p", "o", "g").distinct()
+    # Other rules may say something about the helper names of rules, too.
+    names = sorted({t for r in rules for p in (*r.where, *r.insert) for t in p if t.startswith(HELPER)})
+    helper = F.col("p").startswith(HELPER)
+    for c in ("s", "o") if names else ():
+        helper = reduce(Column.__or__, [F.col(c).startswith(iri + "/") for iri in sorted({m[1] for r in rules for m in r.mints})], helper | F.col(c).isin(names))
+    out = out.where(~helper).select("s", "p", "o", "g").distinct()
     if tbox is not None:
         schema = RuleEngine(rules, mode, graph).run(encode(as_quads(tbox))).select("s", "p", "o", "g").distinct()
         mine = encode(data).distinct()

@@ -1,16 +1,16 @@
 """The standard rulesets: rhodf, rdfs, horst (pD*) and owl2rl, as published by their papers and W3C tables.
 
 Rules over RDF lists of any length use helper statements under ``urn:quadrille:`` that never
-leave the engine.  Rules that find an inconsistency mark a member with owl:Nothing.
+leave the engine: a property chain has a pair relation for what each list cell begins, a key of three
+properties or more one for the pairs that agree on all properties before a cell.  Rules that find an inconsistency mark a member with owl:Nothing.
 """
 
 from __future__ import annotations
 
 from quadrille.model import FULL, Vocabulary
+from quadrille.rules.engine import HELPER
 from quadrille.rules.model import Rule, parse_rules
 
-HELPER = "urn:quadrille:"
-
 RHODF = """
 rhodf-2a : ?a rdfs:subPropertyOf ?c <- ?a rdfs:subPropertyOf ?b ; ?b rdfs:subPropertyOf ?c
 rhodf-2b : ?x ?b ?y <- ?a rdfs:subPropertyOf ?b ; ?x ?a ?y
@@ -131,8 +131,13 @@ prp-symp : ?y ?p ?x <- ?p a owl:SymmetricProperty ; ?x ?p ?y
 prp-asyp : ?x a owl:Nothing <- ?p a owl:AsymmetricProperty ; ?x ?p ?y ; ?y ?p ?x
 prp-trp : ?x ?p ?z <- ?p a owl:TransitiveProperty ; ?x ?p ?y ; ?y ?p ?z
 prp-spo1 : ?x ?q ?y <- ?p rdfs:subPropertyOf ?q ; ?x ?p ?y
-prp-spo2-2 : ?x ?p ?z <- ?p owl:propertyChainAxiom ?l ; ?l rdf:first ?q ; ?l rdf:rest ?m ; ?m rdf:first ?r ; ?m rdf:rest rdf:nil ; ?x ?q ?y ; ?y ?r ?z
-prp-spo2-3 : ?w ?p ?z <- ?p owl:propertyChainAxiom ?l ; ?l rdf:first ?q ; ?l rdf:rest ?m ; ?m rdf:first ?r ; ?m rdf:rest ?n ; ?n rdf:first ?t ; ?n rdf:rest rdf:nil ; ?w ?q ?x ; ?x ?r ?y ; ?y ?t ?z
+prp-spo2-1 : ?q rdfs:subPropertyOf ?p <- ?p owl:propertyChainAxiom ?l ; ?l rdf:first ?q ; ?l rdf:rest rdf:nil
+prp-spo2-rest : ?m q:in q:chain <- ?p owl:propertyChainAxiom ?l ; ?l rdf:rest ?m ; ?m != rdf:nil
+prp-spo2-rests : ?n q:in q:chain <- ?m q:in q:chain ; ?m rdf:rest ?n ; ?n != rdf:nil
+prp-spo2-last : ?m q:chain ?q <- ?m q:in q:chain ; ?m rdf:first ?q ; ?m rdf:rest rdf:nil
+prp-spo2-name : ?m q:chain ?u <- ?m q:in q:chain ; ?m rdf:rest ?n ; ?n != rdf:nil ; ?u := q:chain ?m
+prp-spo2-step : ?x ?u ?z <- ?m q:chain ?u ; ?m rdf:first ?q ; ?m rdf:rest ?n ; ?n q:chain ?r ; ?x ?q ?y ; ?y ?r ?z
+prp-spo2 : ?x ?p ?z <- ?p owl:propertyChainAxiom ?l ; ?l rdf:first ?q ; ?l rdf:rest ?m ; ?m q:chain ?r ; ?x ?q ?y ; ?y ?r ?z
 prp-eqp1 : ?x ?q ?y <- ?p owl:equivalentProperty ?q ; ?x ?p ?y
 prp-eqp2 : ?x ?p ?y <- ?p owl:equivalentProperty ?q ; ?x ?q ?y
 prp-pdw : ?x a owl:Nothing <- ?p owl:propertyDisjointWith ?q ; ?x ?p ?y ; ?x ?q ?y
@@ -141,6 +146,11 @@ prp-inv1 : ?y ?q ?x <- ?p owl:inverseOf ?q ; ?x ?p ?y
 prp-inv2 : ?y ?p ?x <- ?p owl:inverseOf ?q ; ?x ?q ?y
 prp-key-1 : ?x owl:sameAs ?y <- ?c owl:hasKey ?l ; ?l rdf:first ?p ; ?l rdf:rest rdf:nil ; ?x a ?c ; ?y a ?c ; ?x ?p ?v ; ?y ?p ?v ; ?x != ?y
 prp-key-2 : ?x owl:sameAs ?y <- ?c owl:hasKey ?l ; ?l rdf:first ?p ; ?l rdf:rest ?m ; ?m rdf:first ?q ; ?m rdf:rest rdf:nil ; ?x ?p ?v ; ?y ?p ?v ; ?x ?q ?w ; ?y ?q ?w ; ?x a ?c ; ?y a ?c ; ?x != ?y
+prp-key-third : ?n q:key ?u <- ?c owl:hasKey ?l ; ?l rdf:rest ?m ; ?m rdf:rest ?n ; ?n != rdf:nil ; ?u := q:key ?n
+prp-key-rest : ?n q:key ?u <- ?m q:key ?t ; ?m rdf:rest ?n ; ?n != rdf:nil ; ?u := q:key ?n
+prp-key-start : ?x ?u ?y <- ?c owl:hasKey ?l ; ?l rdf:first ?p ; ?l rdf:rest ?m ; ?m rdf:first ?q ; ?m rdf:rest ?n ; ?n q:key ?u ; ?x ?p ?v ; ?y ?p ?v ; ?x ?q ?w ; ?y ?q ?w ; ?x a ?c ; ?y a ?c ; ?x != ?y
+prp-key-step : ?x ?t ?y <- ?n q:key ?u ; ?n rdf:first ?p ; ?n rdf:rest ?m ; ?m q:key ?t ; ?x ?u ?y ; ?x ?p ?v ; ?y ?p ?v
+prp-key-end : ?x owl:sameAs ?y <- ?n q:key ?u ; ?n rdf:first ?p ; ?n rdf:rest rdf:nil ; ?x ?u ?y ; ?x ?p ?v ; ?y ?p ?v
 prp-npa1 : ?x a owl:Nothing <- ?n owl:sourceIndividual ?x ; ?n owl:assertionProperty ?p ; ?n owl:targetIndividual ?y ; ?x ?p ?y
 prp-npa2 : ?x a owl:Nothing <- ?n owl:sourceIndividual ?x ; ?n owl:assertionProperty ?p ; ?n owl:targetValue ?y ; ?x ?p ?y
 cls-thing : owl:Thing a owl:Class ; owl:Nothing a owl:Class <-
@@ -177,7 +187,7 @@ def _typed_constants(rules: list[Rule], vocab: Vocabulary) -> list[Rule]:
         return t
 
     each = lambda ps: tuple(tuple(fix(t) for t in p) for p in ps)
-    return [Rule(r.id, each(r.insert), each(r.where), each(r.delete), r.filters, r.fixpoint, r.phase) for r in rules]
+    return [Rule(r.id, each(r.insert), each(r.where), each(r.delete), r.filters, r.fixpoint, r.phase, r.mints) for r in rules]
 
 
 def ruleset(name: str, vocab: Vocabulary = FULL, equality: bool = True) -> list[Rule]:

@@ -213,6 +213,29 @@ def test_owl_rules(spark):
     assert ("ex:b", RDF + "type", "ex:I") not in got and not any(p.startswith("urn:quadrille:") for _, p, _ in got)
 
 
+def rdf_list(name, members):
+    """An RDF list as statements; its first cell is ``_:{name}0``."""
+    cell = lambda k: f"_:{name}{k}" if k < len(members) else RDF + "nil"
+    return [x for k, m in enumerate(members) for x in ((cell(k), RDF + "first", m), (cell(k), RDF + "rest", cell(k + 1)))]
+
+
+def test_owl_chains_and_keys_of_any_length(spark):
+    facts = [("ex:n0", "ex:p1", "ex:n1"), ("ex:n1", "ex:p2", "ex:n2"), ("ex:n2", "ex:p3", "ex:n3"), ("ex:n3", "ex:p4", "ex:n4"), ("ex:n4", "ex:p5", "ex:n5")]
+    for n in (1, 2, 3, 4, 5):
+        facts += [(f"ex:c{n}", OWL + "propertyChainAxiom", f"_:c{n}x0"), *rdf_list(f"c{n}x", [f"ex:p{k}" for k in range(1, n + 1)])]
+    for n in (1, 2, 3, 4):
+        facts += [(f"ex:K{n}", OWL + "hasKey", f"_:k{n}x0"), *rdf_list(f"k{n}x", [f"ex:k{k}" for k in range(1, n + 1)])]
+        # a and b agree on all keys, d only on all but the last, e lacks the class.
+        for x in "abde":
+            facts += [(f"ex:{x}{n}", f"ex:k{k}", f'"{n}"' if x != "d" or k < n else '"other"') for k in range(1, n + 1)]
+            facts += [(f"ex:{x}{n}", RDF + "type", f"ex:K{n}")] if x != "e" else []
+    rules = [r for r in ruleset("owl2rl") if r.id.startswith(("prp-spo", "prp-key", "eq-ref"))]
+    got = set(spo(apply_rules(quads(spark, facts), rules)))
+    assert {x for x in got if x[1].startswith("ex:c")} == {("ex:n0", f"ex:c{n}", f"ex:n{n}") for n in (1, 2, 3, 4, 5)}
+    assert {(s, o) for s, p, o in got if p == OWL + "sameAs" and s != o} == {x for n in (1, 2, 3, 4) for x in ((f"ex:a{n}", f"ex:b{n}"), (f"ex:b{n}", f"ex:a{n}"))}
+    assert ("ex:p1", RDFS + "subPropertyOf", "ex:c1") in got and not any("urn:quadrille:" in t for x in got for t in x)
+
+
 def test_rule_modes_deletes_phases(spark):
     df = quads(spark, [("ex:a", "ex:p", "ex:b", "ex:g1"), ("ex:b", "ex:p", "ex:c", "ex:g1"), ("ex:c", "ex:p", "ex:d", "ex:g2"), ("ex:d", "ex:p", "ex:e")])
     rule = parse_rules("t once : ?x ex:r ?z <- ?x ex:p ?y ; ?y ex:p ?z", prefixes=PX)

@@ -20,10 +20,11 @@ from quadrille.operators.closure import transitive
 from quadrille.storage import Scratch
 
 RULES = "rdfd2 rdfs1 rdfs2 rdfs3 rdfs4a rdfs4b rdfs5 rdfs6 rdfs7 rdfs8 rdfs9 rdfs10 rdfs11 rdfs12 rdfs13".split()
-#: The axioms that matter for inference, as (property, domain, range).
+#: Domains and ranges of the vocabulary, as (property, domain, range).
 SIGNATURES = [
     ("rdf:type", "rdfs:Resource", "rdfs:Class"), ("rdfs:domain", "rdf:Property", "rdfs:Class"), ("rdfs:range", "rdf:Property", "rdfs:Class"),
     ("rdfs:subPropertyOf", "rdf:Property", "rdf:Property"), ("rdfs:subClassOf", "rdfs:Class", "rdfs:Class"), ("rdfs:member", "rdfs:Resource", "rdfs:Resource"),
+    ("rdf:subject", "rdf:Statement", "rdfs:Resource"), ("rdf:predicate", "rdf:Statement", "rdfs:Resource"), ("rdf:object", "rdf:Statement", "rdfs:Resource"),
     ("rdf:first", "rdf:List", "rdfs:Resource"), ("rdf:rest", "rdf:List", "rdf:List"), ("rdfs:seeAlso", "rdfs:Resource", "rdfs:Resource"),
     ("rdfs:isDefinedBy", "rdfs:Resource", "rdfs:Resource"), ("rdfs:comment", "rdfs:Resource", "rdfs:Literal"), ("rdfs:label", "rdfs:Resource", "rdfs:Literal"), ("rdf:value", "rdfs:Resource", "rdfs:Resource"),
 ]

@@ -30,9 +30,9 @@ rhodf-7b3 : ?c rdfs:subClassOf ?c <- ?x a ?c
 """
 
 _AXIOMS = """
-axioms-domain : a rdfs:domain rdfs:Resource ; rdfs:domain rdfs:domain rdf:Property ; rdfs:range rdfs:domain rdf:Property ; rdfs:subPropertyOf rdfs:domain rdf:Property ; rdfs:subClassOf rdfs:domain rdfs:Class ; rdf:first rdfs:domain rdf:List ; rdf:rest rdfs:domain rdf:List <-
-axioms-range : a rdfs:range rdfs:Class ; rdfs:domain rdfs:range rdfs:Class ; rdfs:range rdfs:range rdfs:Class ; rdfs:subPropertyOf rdfs:range rdf:Property ; rdfs:subClassOf rdfs:range rdfs:Class ; rdf:rest rdfs:range rdf:List <-
-axioms-classes : rdf:Alt rdfs:subClassOf rdfs:Container ; rdf:Bag rdfs:subClassOf rdfs:Container ; rdf:Seq rdfs:subClassOf rdfs:Container ; rdfs:ContainerMembershipProperty rdfs:subClassOf rdf:Property ; rdfs:Datatype rdfs:subClassOf rdfs:Class ; rdf:XMLLiteral a rdfs:Datatype ; rdfs:isDefinedBy rdfs:subPropertyOf rdfs:seeAlso ; rdf:nil a rdf:List <-
+axioms-domain : a rdfs:domain rdfs:Resource ; rdfs:domain rdfs:domain rdf:Property ; rdfs:range rdfs:domain rdf:Property ; rdfs:subPropertyOf rdfs:domain rdf:Property ; rdfs:subClassOf rdfs:domain rdfs:Class ; rdf:first rdfs:domain rdf:List ; rdf:rest rdfs:domain rdf:List ; rdf:subject rdfs:domain rdf:Statement ; rdf:predicate rdfs:domain rdf:Statement ; rdf:object rdfs:domain rdf:Statement ; rdfs:member rdfs:domain rdfs:Resource ; rdfs:seeAlso rdfs:domain rdfs:Resource ; rdfs:isDefinedBy rdfs:domain rdfs:Resource ; rdfs:comment rdfs:domain rdfs:Resource ; rdfs:label rdfs:domain rdfs:Resource ; rdf:value rdfs:domain rdfs:Resource ; rdf:_1 rdfs:domain rdfs:Resource <-
+axioms-range : a rdfs:range rdfs:Class ; rdfs:domain rdfs:range rdfs:Class ; rdfs:range rdfs:range rdfs:Class ; rdfs:subPropertyOf rdfs:range rdf:Property ; rdfs:subClassOf rdfs:range rdfs:Class ; rdf:rest rdfs:range rdf:List ; rdfs:comment rdfs:range rdfs:Literal ; rdfs:label rdfs:range rdfs:Literal ; rdf:subject rdfs:range rdfs:Resource ; rdf:predicate rdfs:range rdfs:Resource ; rdf:object rdfs:range rdfs:Resource ; rdfs:member rdfs:range rdfs:Resource ; rdf:first rdfs:range rdfs:Resource ; rdfs:seeAlso rdfs:range rdfs:Resource ; rdfs:isDefinedBy rdfs:range rdfs:Resource ; rdf:value rdfs:range rdfs:Resource ; rdf:_1 rdfs:range rdfs:Resource <-
+axioms-classes : rdf:Alt rdfs:subClassOf rdfs:Container ; rdf:Bag rdfs:subClassOf rdfs:Container ; rdf:Seq rdfs:subClassOf rdfs:Container ; rdfs:ContainerMembershipProperty rdfs:subClassOf rdf:Property ; rdfs:Datatype rdfs:subClassOf rdfs:Class ; rdf:XMLLiteral a rdfs:Datatype ; rdfs:isDefinedBy rdfs:subPropertyOf rdfs:seeAlso ; rdf:nil a rdf:List ; rdf:_1 a rdfs:ContainerMembershipProperty ; rdf:XMLLiteral rdfs:subClassOf rdfs:Literal ; rdf:type a rdf:Property ; rdf:subject a rdf:Property ; rdf:predicate a rdf:Property ; rdf:object a rdf:Property ; rdf:first a rdf:Property ; rdf:rest a rdf:Property ; rdf:value a rdf:Property ; rdf:_1 a rdf:Property <-
 """
 _RDFS = """
 rdf1 : ?p a rdf:Property <- ?x ?p ?y
@@ -55,7 +55,7 @@ RDFS = _AXIOMS + _RDFS
 HORST = (
     RDFS
     + """
-axioms-owl : owl:FunctionalProperty rdfs:subClassOf rdf:Property ; owl:InverseFunctionalProperty rdfs:subClassOf rdf:Property ; owl:SymmetricProperty rdfs:subClassOf rdf:Property ; owl:TransitiveProperty rdfs:subClassOf rdf:Property ; owl:equivalentClass rdfs:subPropertyOf rdfs:subClassOf ; owl:equivalentProperty rdfs:subPropertyOf rdfs:subPropertyOf <-
+axioms-owl : owl:FunctionalProperty rdfs:subClassOf rdf:Property ; owl:InverseFunctionalProperty rdfs:subClassOf rdf:Property ; owl:SymmetricProperty rdfs:subClassOf rdf:Property ; owl:TransitiveProperty rdfs:subClassOf rdf:Property ; owl:equivalentClass rdfs:subPropertyOf rdfs:subClassOf ; owl:equivalentProperty rdfs:subPropertyOf rdfs:subPropertyOf ; owl:sameAs a rdf:Property ; owl:differentFrom a rdf:Property ; owl:inverseOf a rdf:Property ; owl:equivalentClass a rdf:Property ; owl:equivalentProperty a rdf:Property ; owl:inverseOf rdfs:domain rdf:Property ; owl:inverseOf rdfs:range rdf:Property ; owl:equivalentClass rdfs:domain owl:Class ; owl:equivalentClass rdfs:range owl:Class ; owl:equivalentProperty rdfs:domain rdf:Property ; owl:equivalentProperty rdfs:range rdf:Property ; owl:disjointWith rdfs:domain owl:Class ; owl:disjointWith rdfs:range owl:Class ; owl:onProperty rdfs:domain owl:Restriction ; owl:onProperty rdfs:range rdf:Property ; owl:hasValue rdfs:domain owl:Restriction ; owl:someValuesFrom rdfs:domain owl:Restriction ; owl:someValuesFrom rdfs:range owl:Class ; owl:allValuesFrom rdfs:domain owl:Restriction ; owl:allValuesFrom rdfs:range owl:Class ; owl:Restriction rdfs:subClassOf owl:Class <-
 rdfp1 : ?y owl:sameAs ?z <- ?p a owl:FunctionalProperty ; ?x ?p ?y ; ?x ?p ?z ; ?y != ?z
 rdfp2 : ?x owl:sameAs ?z <- ?p a owl:InverseFunctionalProperty ; ?x ?p ?y ; ?z ?p ?y ; ?x != ?z
 rdfp3 : ?y ?p ?x <- ?p a owl:SymmetricProperty ; ?x ?p ?y
@@ -154,6 +154,8 @@ prp-key-end : ?x owl:sameAs ?y <- ?n q:key ?u ; ?n rdf:first ?p ; ?n rdf:rest rd
 prp-npa1 : ?x a owl:Nothing <- ?n owl:sourceIndividual ?x ; ?n owl:assertionProperty ?p ; ?n owl:targetIndividual ?y ; ?x ?p ?y
 prp-npa2 : ?x a owl:Nothing <- ?n owl:sourceIndividual ?x ; ?n owl:assertionProperty ?p ; ?n owl:targetValue ?y ; ?x ?p ?y
 cls-thing : owl:Thing a owl:Class ; owl:Nothing a owl:Class <-
+prp-ap : rdfs:label a owl:AnnotationProperty ; rdfs:comment a owl:AnnotationProperty ; rdfs:seeAlso a owl:AnnotationProperty ; rdfs:isDefinedBy a owl:AnnotationProperty ; owl:deprecated a owl:AnnotationProperty ; owl:versionInfo a owl:AnnotationProperty ; owl:priorVersion a owl:AnnotationProperty ; owl:backwardCompatibleWith a owl:AnnotationProperty ; owl:incompatibleWith a owl:AnnotationProperty <-
+dt-type1 : rdf:PlainLiteral a rdfs:Datatype ; rdf:XMLLiteral a rdfs:Datatype ; rdfs:Literal a rdfs:Datatype ; xsd:decimal a rdfs:Datatype ; xsd:integer a rdfs:Datatype ; xsd:nonNegativeInteger a rdfs:Datatype ; xsd:nonPositiveInteger a rdfs:Datatype ; xsd:positiveInteger a rdfs:Datatype ; xsd:negativeInteger a rdfs:Datatype ; xsd:long a rdfs:Datatype ; xsd:int a rdfs:Datatype ; xsd:short a rdfs:Datatype ; xsd:byte a rdfs:Datatype ; xsd:unsignedLong a rdfs:Datatype ; xsd:unsignedInt a rdfs:Datatype ; xsd:unsignedShort a rdfs:Datatype ; xsd:unsignedByte a rdfs:Datatype ; xsd:float a rdfs:Datatype ; xsd:double a rdfs:Datatype ; xsd:string a rdfs:Datatype ; xsd:normalizedString a rdfs:Datatype ; xsd:token a rdfs:Datatype ; xsd:language a rdfs:Datatype ; xsd:Name a rdfs:Datatype ; xsd:NCName a rdfs:Datatype ; xsd:NMTOKEN a rdfs:Datatype ; xsd:boolean a rdfs:Datatype ; xsd:hexBinary a rdfs:Datatype ; xsd:base64Binary a rdfs:Datatype ; xsd:anyURI a rdfs:Datatype ; xsd:dateTime a rdfs:Datatype ; xsd:dateTimeStamp a rdfs:Datatype <-
 cls-int-end : ?y q:all ?l <- ?l rdf:first ?c ; ?l rdf:rest rdf:nil ; ?y a ?c
 cls-int-step : ?y q:all ?l <- ?l rdf:first ?c ; ?l rdf:rest ?m ; ?y q:all ?m ; ?y a ?c
 cls-int1 : ?y a ?c <- ?c owl:intersectionOf ?l ; ?y q:all ?l

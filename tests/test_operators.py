@@ -143,6 +143,22 @@ def test_rdfs_matches_rules(spark):
     assert fast == slow and ("ex:z", RDF + "type", "ex:C") in fast and ("ex:y", RDF + "type", "ex:D") in fast
 
 
+def test_axioms_type_reified_statements(spark):
+    data = quads(spark, [("ex:s", RDF + "subject", "ex:o"), ("ex:t", RDF + "predicate", "ex:p"), ("ex:u", RDF + "object", '"v"')])
+    few = [r for r in ruleset("rdfs") if r.id.startswith(("axioms", "rdfs2"))]
+    for got in (set(spo(rdfs.rdfs(data))), set(spo(apply_rules(data, few)))):
+        assert {(f"ex:{x}", RDF + "type", RDF + "Statement") for x in "stu"} <= got
+
+
+def test_axioms_are_complete():
+    facts = lambda name: closure([r for r in ruleset(name) if not r.where], [])
+    for name in ("rdfs", "horst"):
+        assert {(RDF + "object", RDFS + "range", RDFS + "Resource"), (RDFS + "label", RDFS + "range", RDFS + "Literal"), (RDF + "_1", RDF + "type", RDFS + "ContainerMembershipProperty"), (RDF + "XMLLiteral", RDFS + "subClassOf", RDFS + "Literal")} <= facts(name)
+    assert {(OWL + "hasValue", RDFS + "domain", OWL + "Restriction"), (OWL + "inverseOf", RDFS + "range", RDF + "Property"), (OWL + "Restriction", RDFS + "subClassOf", OWL + "Class")} <= facts("horst")
+    owl = facts("owl2rl")
+    assert sum(o == OWL + "AnnotationProperty" for _, _, o in owl) == 9 and sum(o == RDFS + "Datatype" for _, _, o in owl) == 32 and (XSD + "dateTimeStamp", RDF + "type", RDFS + "Datatype") in owl
+
+
 def test_rdfs_graphs_options_and_owl(spark):
     data = quads(spark, [("ex:x", "ex:p", "ex:y", "ex:g")])
     only = ["rdfs4a", "rdfs4b", "rdfs8", "rdfs6", "rdfs10", "rdfd2", "rdfs1"]

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.model import NAMESPACES, bag_union
-from quadrille.sources.documents import format_of, read_documents
+from quadrille.sources.documents import format_of, read_documents, read_packed_lines
 from quadrille.sources.lines import read_lines, write_lines
 
 LINE_FORMATS = ("nt", "nq", "tql")
@@ -29,6 +29,8 @@ def read_quads(spark: SparkSession, *locations: str, base: str = "", rewrite_bno
         found, codecs = format_of(where)
         if (form or found) in LINE_FORMATS and not set(codecs) - {"gz", "bz2"}:
             lines.append(where)
+        elif (form or found) in LINE_FORMATS:
+            parts.append(read_packed_lines(spark, where, rewrite_bnodes=rewrite_bnodes))
         else:
             parts.append(read_documents(spark, where, form=form, base=base_iri(base), rewrite_bnodes=rewrite_bnodes))
     if lines:

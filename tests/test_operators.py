@@ -342,6 +342,16 @@ def test_document_parsers():
     assert all(r[3].startswith("_:xx") for r in tagged if r[4] == 1)
 
 
+def test_packed_lines_as_plain(spark, tmp_path):
+    more = ["<ex:s> <ex:p> \"c\"@en-GB . # comment", "_:b1.2 <ex:p> _:名前 _:g.1 .", "<ex:s> <ex:p> _:Ⴀ.ẞ . # _:x .", "<ex:s> <ex:p> \"é\" .\r", "<ex:s> <ex:p> <ex:o> . x"]
+    text = ("\ufeff" + "\n".join(more + ESCAPES) + "\n").encode()
+    (tmp_path / "f.nq").write_bytes(text)
+    (tmp_path / "f.nq.xz").write_bytes(lzma.compress(text))
+    plain, packed = (rows(read_quads(spark, str(tmp_path / name)), *QUAD) for name in ("f.nq", "f.nq.xz"))
+    assert packed == plain and len(packed) == 11 and ("_:b1.2", 1, "ex:p", "_:名前", 1, None, None, "_:g.1", 1) in packed
+    assert read_quads(spark, str(tmp_path / "f.nq.xz"), rewrite_bnodes=True).where("s_kind = 1 AND NOT s LIKE '\\\\_:b________________________'").count() == 0
+
+
 @pytest.mark.parametrize("form", ["ttl", "trig", "rdf", "rj", "jsonld", "trix", "nq", "nq.gz"])
 def test_write_and_read(spark, tmp_path, form):
     data = [("ex:s", "ex:p", '"a<b>&\\"c"@en'), ("ex:s", "ex:p", f'"1"^^{XSD}integer'), ("_:b1", "ex:q/r", "ex:o"), ("ex:s", RDF + "type", "ex:C")]

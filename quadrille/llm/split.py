@@ -23,7 +23,8 @@ LIMIT, OVERLAP = 1024, 64
 BREAKS = re.compile("(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])+")
 ONE_BREAK = re.compile("\r\n|[\n\r\x0b\x85\u2028]")
 #: A sentence ends in one of these, closing quotes and brackets after it included, before white space; wide stops need none.
-SENTENCE = re.compile("[.!?…։۔।:][\"'’”»)\\]]*(?=\\s)|[。！？]+[」』”]*")
+#: A colon is a full stop only in Armenian, directly after a letter.
+SENTENCE = re.compile("(?:[.!?…։۔।]|(?<=[\u0531-\u0556\u0561-\u0587]):)[\"'’”»)\\]]*(?=\\s)|[。！？]+[」』”]*")
 LEVELS = ("anywhere", "word", "sentence", "paragraph")
 
 

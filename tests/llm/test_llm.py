@@ -218,6 +218,12 @@ def test_pieces_cover_overlap_and_end_well(spark, reference):
         assert reference.decode(list(r["ids"])).endswith("saw it.")
 
 
+def test_colons_end_no_sentence():
+    ends = lambda text: [m.end() for m in split.SENTENCE.finditer(text)]
+    assert ends("Frage 16,432: welche? Question 39 : quelle. «Note:» then. ") == [21, 43, 57]
+    assert len(ends("Բարև: Այո։ ")) == 2
+
+
 def test_split_small_limits(spark):
     df = spark.createDataFrame([(1, "one two three. four five six.\n\nseven eight nine ten eleven")], "doc_id int, text string")
     got = split.split_oversized(df, limit=6, overlap=2).orderBy("piece_no").collect()

@@ -274,7 +274,10 @@ def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CLOSED + f"SELECT DISTINCT s, c, g FROM types WHERE starts_with(c, '{D}')")
 def rdfs_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types of everything under a small schema: super-properties, domains, ranges, super-classes."""
+    """Types of everything under a small schema: super-properties, domains, ranges, super-classes.
+
+    Without the rules that make rows for every term or property; ``rdfs_all`` has them all.
+    """
     return _inferred(spark, sf_dir).where((F.col("p") == "rdf:type") & F.col("o").startswith(D)).select("s", F.col("o").alias("c"), "g")
 
 
@@ -283,6 +286,12 @@ def rdfs_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inferred(spark, sf_dir).where("p <> 'rdf:type'")
 
 
+@query()
+def rdfs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every inference of the RDFS operator under the small schema; nothing is excluded."""
+    return rdfs.rdfs(q(spark, sf_dir), axioms(spark), vocab=SHORT)
+
+
 def _ruled(spark: SparkSession, sf_dir: str, rules: str, mode: str = "none", graph: str | None = None, partition: str = "none", **options) -> DataFrame:
     return apply_rules(q(spark, sf_dir), parse_rules(rules, SHORT, PREFIXES), mode, graph, partition, **options)
 
@@ -365,12 +374,27 @@ def rules_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CLOSED + f"SELECT DISTINCT s, c FROM types WHERE starts_with(c, '{D}')")
 def rules_rhodf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rhodf ruleset to its fixpoint: same types as the one-pass RDFS operator, over all graphs."""
+    """Six rules of rhodf (2a to 4b) to their fixpoint: same types as the one-pass RDFS operator, over all graphs.
+
+    ``rules_rhodf_all`` has all fifteen.
+    """
     out = apply_rules(setops.inject(q(spark, sf_dir), axioms(spark)), [r for r in ruleset("rhodf", SHORT) if r.id.rpartition("-")[2] in ("2a", "2b", "3a", "3b", "4a", "4b")], vocab=SHORT)
     known = [a[0] for a in _AXIOMS]
     return out.where((F.col("p") == "rdf:type") & F.col("o").startswith(D) & ~(F.col("s").isin(known) & F.col("o").isin("owl:Class"))).select("s", F.col("o").alias("c")).distinct()
 
 
+@query()
+def rules_rhodf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rhodf ruleset to its fixpoint, all statements."""
+    return apply_rules(setops.inject(q(spark, sf_dir), axioms(spark)), ruleset("rhodf", SHORT), vocab=SHORT)
+
+
+@query()
+def rules_rdfs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rdfs ruleset to its fixpoint, all statements."""
+    return apply_rules(setops.inject(q(spark, sf_dir), axioms(spark)), ruleset("rdfs", SHORT), vocab=SHORT)
+
+
 @query(f"SELECT DISTINCT s, b.o {_JOINED.replace('b.s = a.s', 'b.s = a.s')}".replace("DISTINCT s,", "DISTINCT b.s,"))
 def rules_dlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = parse_dlog(f"PREFIX d: <{D}>\nPREFIX t: <urn:t:>\nd:pair(x, z) :- d:name(x, y), t:type(x, z).\n")

@@ -29,7 +29,10 @@ def readable(text: Column, kind: str) -> Column:
 
 
 def typed(text: Column, kind: str) -> Column:
-    """The value; null where it is readable but beyond the column's type (numbers over 38 digits)."""
+    """The value in the column's type: a decimal is rounded half up to 9 fraction digits.
+
+    Null where it is readable but beyond the type: integers over 38 digits, decimals over 29 integer digits.
+    """
     if kind == "date":
         return text.try_cast("date")
     if kind == "boolean":

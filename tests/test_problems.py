@@ -207,3 +207,11 @@ def test_hot_join(spark, monkeypatch):
     right = spark.range(1500).selectExpr("id k", "id * 2 w")
     out = hotjoin.hot_join(left, right, "k", left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), 2000)
     assert rows(out, "k", "v", "w") == rows(left.join(right, "k"), "k", "v", "w")
+
+
+def test_numbers_beyond_their_columns(spark):
+    from quadrille.operators.widen import readable, typed
+
+    df = spark.createDataFrame([("0.1234567895", "7"), ("-0.1234567895", "9" * 38), ("9" * 29 + ".5", "+1"), ("1" + "0" * 29, "1" + "0" * 38)], "d string, i string")
+    got = df.select(typed(F.col("d"), "decimal").cast("string"), typed(F.col("i"), "integer").cast("string"), readable(F.col("d"), "decimal"), readable(F.col("i"), "integer")).collect()
+    assert [tuple(r) for r in got] == [("0.123456790", "7", True, True), ("-0.123456790", "9" * 38, True, True), ("9" * 29 + ".500000000", "1", True, True), (None, None, True, True)]

@@ -531,6 +531,12 @@ def stats_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.class_stats(q(spark, sf_dir), 5, vocab=SHORT)
 
 
+@query(ORACLE["stats_classes"].replace("sum(preds) / count(*) FILTER (WHERE s_kind = 0)", "sum(preds) / nullif(count(*) FILTER (WHERE s_kind = 0), 0)").replace(" HAVING count(*) FILTER (WHERE s_kind = 0) >= 5", ""))
+def stats_classes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every class, those with few entities or none, too."""
+    return stats.class_stats(q(spark, sf_dir), vocab=SHORT)
+
+
 @query(
     _U.rstrip() + ", c AS (SELECT p AS property, count(*) triples, count(DISTINCT s) distinct_subjects, count(DISTINCT s) FILTER (WHERE s_kind = 0) entities, "
     "count(DISTINCT (o, o_kind, coalesce(o_lang, ''), coalesce(o_dt, ''))) FILTER (WHERE NOT (p = 'rdf:type' AND o_kind = 0)) distinct_objects, bool_and(o_kind = 2) al, bool_or(o_kind = 2) sl FROM u GROUP BY p) "

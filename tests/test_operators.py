@@ -138,6 +138,18 @@ def test_stats(spark):
     assert any(r["o"] == "p (2, PFI)" for r in void) and not any(r["o"] == "0" for r in void)
 
 
+def test_stats_of_all_classes_match_sql(spark, tmp_path):
+    import duckdb
+
+    path = tmp_path / "quads.parquet"
+    quads(spark, [("ex:a", "rdf:type", "ex:C"), ("ex:a", "ex:p", '"1"'), ("_:b", "rdf:type", "ex:D"), ("_:b", "ex:p", "ex:a")]).write.parquet(str(path))
+    got = rows(reference.QUERIES["stats_classes_all"](spark, str(tmp_path)))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW quads AS FROM '{path}/*.parquet'")
+        assert got == sorted(con.sql(reference.ORACLE["stats_classes_all"]).fetchall(), key=str)
+    assert [(r[1], r[2], r[-1]) for r in got] == [("ex:C", 1, 2.0), ("ex:D", 0, None)]
+
+
 SCHEMA_ROWS = [("ex:A", RDFS + "subClassOf", "ex:B"), ("ex:B", RDFS + "subClassOf", "ex:C"), ("ex:C", RDFS + "subClassOf", "ex:B"), ("ex:p", RDFS + "subPropertyOf", "ex:q"), ("ex:q", RDFS + "domain", "ex:A"), ("ex:q", RDFS + "range", "ex:D")]
 
 

@@ -43,7 +43,7 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     base = scratch.table(clean_links(links))
     loops = [base.where("child = parent").select(F.col("child").alias("node"))]
     edges = scratch.table(base.where("child <> parent").select("child", "parent", F.lit(1).cast("long").alias("hops"), via.alias("via")))
-    rounds: list[tuple[DataFrame, int, int]] = []
+    rounds: list[tuple[DataFrame, dict]] = []
     while True:
         kids = edges.groupBy(F.col("parent").alias("child")).agg(F.count(F.lit(1)).alias("kids"), F.min("child").alias("only"))
         turn = len(rounds)
@@ -53,10 +53,10 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
         pair = (F.col("kids") == 1) & (F.col("only") == F.col("parent")) & (F.col("child") < F.col("parent"))
         act = F.when(F.col("kids").isNull(), "rake").when(splice | pair, "splice").otherwise("stay")
         is_ = lambda a: F.col("act") == a
-        seen, n = scratch.counted(edges.join(kids, "child", "left").withColumn("act", act), rake=is_("rake"), splice=is_("splice"))
+        seen, n = scratch.counted(edges.join(kids, "child", "left").withColumn("act", act), hot="parent", rake=is_("rake"), splice=is_("splice"))
         if not n["rows"]:
             break
-        rounds.append((seen, n["rake"], n["splice"]))
+        rounds.append((seen, n))
         gone = seen.where("act = 'splice'")
         # Both sides hold each child once: the only child of a spliced node moves to that node's parent.
         moved = gone.select(
@@ -80,11 +80,11 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     start = lambda df, root, depth: df.select("node", root.alias("root"), F.lit(depth).cast("long").alias("node_depth"), (F.array("node") if with_paths and depth == 0 else F.lit(None).cast("array<string>")).alias("path"))
     known = [scratch.table(start(tops, F.col("node"), 0).unionByName(start(cyclic, F.lit(""), -1)))]
 
-    def hang(rows: DataFrame, total: int) -> None:
+    def hang(rows: DataFrame, hot: list) -> None:
         """Resolve recorded rows from the nodes they hang from."""
         up = reduce(DataFrame.unionByName, known).select(F.col("node").alias("parent"), "root", "node_depth", "path")
         rows = rows.select("child", "parent", "hops", "via")
-        out = hot_join(rows, up, "parent", rows.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), total)
+        out = hot_join(rows, up, "parent", hot)
         depth = F.when(F.col("node_depth") < 0, F.lit(-1)).otherwise(F.col("node_depth") + F.col("hops"))
         path = F.concat("path", "via", F.array("child")) if with_paths else F.col("path")
         known.append(scratch.table(out.select(F.col("child").alias("node"), "root", depth.cast("long").alias("node_depth"), path.alias("path"))))
@@ -93,11 +93,10 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
             known[:] = [scratch.table(reduce(DataFrame.unionByName, old))]
             scratch.drop(*old)
 
-    for seen, raked, spliced in reversed(rounds):
-        if spliced:
-            hang(seen.where("act = 'splice'"), spliced)
-        if raked:
-            hang(seen.where("act = 'rake'"), raked)
+    for seen, n in reversed(rounds):
+        for act in ("splice", "rake"):
+            if n[act]:
+                hang(seen.where(F.col("act") == act), n["hot"])
         scratch.drop(seen)
     scratch.keep_only(*known)
     out = reduce(DataFrame.unionByName, known).withColumn("node_depth", F.col("node_depth").cast("int"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.operators import hierarchy, rejects, skew, widen
-from quadrille.storage import read
+from quadrille.storage import Scratch, read
 
 DEF = "http://kb.tidal.example/def/"
 WITHIN, ENCLOSES = DEF + "within", DEF + "encloses"
@@ -65,19 +65,19 @@ def p6_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _per_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred = skew.per_key(read(spark, sf_dir, "coded_quads").select("pred", "subj"), "pred", "subj")
-    types = read(spark, sf_dir, "stat_records").where("rec_type IS NOT NULL").select("rec_type", F.lower("subject").alias("subject"))
-    types = skew.per_key(types, "rec_type", "subject")
-    label = lambda df, name: df.select(F.lit(name).alias("field_name"), F.col(name).alias("code"), "n_rows", "n_distinct")
-    return label(pred, "pred").unionByName(label(types, "rec_type"))
+    pred = read(spark, sf_dir, "coded_quads").select(F.lit("pred").alias("field_name"), F.col("pred").alias("code"), "subj")
+    types = read(spark, sf_dir, "stat_records").where("rec_type IS NOT NULL").select(F.lit("rec_type").alias("field_name"), F.col("rec_type").alias("code"), F.lower("subject").alias("subject"))
+    return skew.per_key(pred, "field_name", "code", "subj").unionByName(skew.per_key(types, "field_name", "code", "subject"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skew.frequent(_per_code(spark, sf_dir), "field_name", 20).select("field_name", "code")
+    # The counts of every code are made whole; the frequent codes are read off them.
+    counts = Scratch(spark, "codes").table(_per_code(spark, sf_dir))
+    return skew.frequent(counts, 20).select("field_name", "code")
 
 
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _per_code(spark, sf_dir)
+    return _per_code(spark, sf_dir).drop("group_rows")
 
 
 def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.operators.hotjoin import hot_of, top_keys
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.  Only a local-mode session may fall back to a temporary one."""
@@ -58,11 +60,13 @@ class Scratch:
         out._scratch = self  # keeps id() unique while the frame lives
         return out
 
-    def counted(self, df: DataFrame, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
-        """:meth:`table` with sums over the rows, taken while they are written."""
+    def counted(self, df: DataFrame, hot: str | None = None, **sums: Column) -> tuple[DataFrame, dict]:
+        """:meth:`table` with sums over the rows, and the hot keys of column ``hot``, taken while they are written."""
         seen = Observation()
-        out = self.table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in sums.items()]))
-        return out, {k: int(v or 0) for k, v in seen.get.items()}
+        top = [top_keys(hot).alias("hot")] if hot else []
+        out = self.table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in sums.items()], *top))
+        found = {k: v if k == "hot" else int(v or 0) for k, v in seen.get.items()}
+        return out, found | ({"hot": hot_of(found["hot"], found["rows"])} if hot else {})
 
     def bucketed(self, df: DataFrame, buckets: int, keys: Sequence[str], split: str | None = None) -> DataFrame:
         """Write ``df`` hash-bucketed and sorted by ``keys``: joins on exactly these keys with

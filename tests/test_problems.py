@@ -191,22 +191,35 @@ def test_rejects_against_brute_force():
 
 def test_skew(spark):
     df = spark.createDataFrame([(1, "a", 5)] * 60 + [(1, None, None), (2, "a", 1), (None, "b", 2)], "k int, v string, n int")
-    assert rows(skew.per_key(df, "k", "v")) == sorted([(1, 61, 1), (2, 1, 1), (None, 1, 1)], key=str)
     dim = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (3, "y"), (None, "z")], "code int, n string")
     df.createOrReplaceTempView("lhs"), dim.createOrReplaceTempView("rhs")
     want = rows(spark.sql("SELECT r.n, count(*), sum(l.n), count(DISTINCT v) FROM lhs l JOIN rhs r ON k = code GROUP BY r.n"))
     assert rows(skew.eager_join(df, dim, ("k", "code"), ["n"], ["n"], "v"), "n", "n_rows", "sum_n", "n_distinct") == want
     assert skew.eager_join(df.limit(0), dim, ("k", "code"), ["n"]).count() == 0
-    counts = skew.per_key(df, "k").withColumn("grp", F.lit("g"))
-    assert rows(skew.frequent(counts, "grp", 20), "k") == [(1,)]
-
-
-def test_hot_join(spark, monkeypatch):
-    monkeypatch.setattr(hotjoin, "EVEN_ROWS", 0)
+    # Groups of one key each, groups by a left column, no groups, and a hot key whose values have to be joined.
+    df.createOrReplaceTempView("lhs")
+    want = rows(spark.sql("SELECT k, n, count(*), count(DISTINCT v) FROM lhs WHERE k IS NOT NULL GROUP BY k, n"))
+    assert rows(skew.eager_join(df, spark.range(400).selectExpr("int(id) code", "id n"), ("k", "code"), keep=["k", "n"], distinct="v"), "k", "n", "n_rows", "n_distinct") == want
+    want = rows(spark.sql("SELECT l.n, r.n, count(*), count(DISTINCT v) FROM lhs l JOIN rhs r ON k = code GROUP BY l.n, r.n"))
+    got = skew.eager_join(df, dim.withColumnRenamed("n", "name"), ("k", "code"), ["name"], distinct="v", keep=["n"])
+    assert rows(got, "n", "name", "n_rows", "n_distinct") == want
+    want = rows(spark.sql("SELECT count(*), count(DISTINCT v) FROM lhs JOIN rhs r ON k = code"))
+    assert rows(skew.eager_join(df, dim, ("k", "code"), distinct="v"), "n_rows", "n_distinct") == want
+    counts = skew.per_key(df.withColumn("grp", F.lit("g")), "grp", "k", "v")
+    assert rows(counts, "k", "n_rows", "n_distinct") == rows(spark.sql("SELECT k, count(*), count(DISTINCT v) FROM lhs GROUP BY k"))
+    assert rows(skew.frequent(counts.where("k IS NOT NULL"), 20), "k") == [(1,)]
+
+
+def test_hot_join(spark):
     left = spark.range(2000).selectExpr("CASE WHEN id % 3 > 0 THEN 7 ELSE id END k", "id v")
     right = spark.range(1500).selectExpr("id k", "id * 2 w")
-    out = hotjoin.hot_join(left, right, "k", left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), 2000)
-    assert rows(out, "k", "v", "w") == rows(left.join(right, "k"), "k", "v", "w")
+    assert hotjoin.hot_keys(left, "k") == [7]
+    assert rows(hotjoin.hot_join(left, right, "k"), "k", "v", "w") == rows(left.join(right, "k"), "k", "v", "w")
+    right = right.unionByName(right.withColumn("w", F.col("w") + 1))
+    assert rows(hotjoin.salted_join(left, right, "k"), "k", "v", "w") == rows(left.join(right, "k"), "k", "v", "w")
+    nulls = spark.range(400).selectExpr("CAST(NULL AS BIGINT) k", "id v")
+    assert hotjoin.hot_keys(nulls, "k") == [] and hotjoin.hot_keys(left.limit(0), "k") == []
+    assert rows(hotjoin.salted_join(left.unionByName(nulls), right, "k"), "k", "v", "w") == rows(left.join(right, "k"), "k", "v", "w")
 
 
 def test_numbers_beyond_their_columns(spark):

@@ -18,22 +18,22 @@ from quadrille.storage import Scratch, fingerprint
 
 
 def _least(rows: DataFrame, node: str, other: str) -> DataFrame:
-    return rows.groupBy(F.col(node).alias("key")).agg(F.min(other).alias("least"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(F.col(node).alias("key")).agg(F.min(other).alias("least"))
 
 
-def large_star(links: DataFrame, scratch: Scratch, total: int) -> DataFrame:
+def large_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(hi, lo) links to the same components: each node's larger neighbours move to its least one."""
     both = links.select(F.explode(F.array(F.struct(F.col("hi").alias("key"), F.col("lo").alias("near")), F.struct(F.col("lo").alias("key"), F.col("hi").alias("near")))).alias("x")).select("x.*")
     least = scratch.table(_least(both, "key", "near").withColumn("least", F.least("key", "least")))
     # Only larger neighbours move, so the join needs each link once, from its smaller end.
-    out = hot_join(links.withColumnRenamed("lo", "key"), least.select("key", "least"), "key", least.select("key", "n"), 2 * total)
+    out = hot_join(links.withColumnRenamed("lo", "key"), least, "key")
     return out.select("hi", F.col("least").alias("lo")).distinct()
 
 
-def small_star(links: DataFrame, scratch: Scratch, total: int) -> DataFrame:
+def small_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(hi, lo) links to the same components: each node and its smaller neighbours move to the least."""
     least = scratch.table(_least(links, "hi", "lo"))
-    out = hot_join(links.withColumnRenamed("hi", "key"), least.select("key", "least"), "key", least.select("key", "n"), total)
+    out = hot_join(links.withColumnRenamed("hi", "key"), least, "key")
     moved = out.where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
     return moved.unionByName(least.select(F.col("key").alias("hi"), F.col("least").alias("lo"))).distinct()
 
@@ -55,19 +55,18 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
     pairs = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     named = scratch.table(pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     # The rounds work on numbers in the order of the terms instead of the terms themselves.
-    terms, links, total = numbered(named, scratch), named, named.count()
+    terms, links = numbered(named, scratch), named
     for col in ("hi", "lo"):
         table = terms.select(F.col("term").alias(col), F.col("id").alias("number"))
-        links = scratch.table(hot_join(links, table, col, links.groupBy(col).agg(F.count(F.lit(1)).alias("n")), total).drop(col).withColumnRenamed("number", col))
+        links = scratch.table(hot_join(links, table, col).drop(col).withColumnRenamed("number", col))
     links = links.select("hi", "lo")
     mark = fingerprint(links)
     while mark[0]:
-        mid = scratch.table(large_star(links, scratch, mark[0]))
-        new = scratch.table(small_star(mid, scratch, mark[0]))
+        mid = scratch.table(large_star(links, scratch))
+        new = scratch.table(small_star(mid, scratch))
         scratch.keep_only(new, terms)
         before, mark, links = mark, fingerprint(new), new
         if mark == before:
             break
-    counts = links.groupBy("lo").agg(F.count(F.lit(1)).alias("n"))
-    reps = hot_join(links, terms.select(F.col("id").alias("lo"), F.col("term").alias("rep")), "lo", counts, mark[0])
+    reps = hot_join(links, terms.select(F.col("id").alias("lo"), F.col("term").alias("rep")), "lo")
     return reps.join(terms.select(F.col("id").alias("hi"), F.col("term").alias("member")), "hi").select("member", "rep")

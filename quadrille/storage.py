@@ -108,3 +108,34 @@ def fingerprint(df: DataFrame) -> tuple[int, int, int]:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any file system; None if there is none."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, remove_at_exit: str | None = None) -> None:
+    """Write a small text file, replacing an old one by a rename; ``remove_at_exit``: a folder that goes when the driver ends."""
+    fs, p = _path(spark, path)
+    new = _path(spark, f"{path}.new")[1]
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    fs.rename(new, p)
+    if remove_at_exit:
+        fs.deleteOnExit(_path(spark, remove_at_exit)[1])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm.lexicon import Lexicon
-from quadrille.storage import shared_folder
+from quadrille.storage import Scratch, shared_folder
 
 #: Fixed value: how the tokenizer cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -225,11 +225,23 @@ def word_counts(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def build_lexicon(texts: DataFrame, column: str = "text", directory: str = TOKENIZERS, limit: int = LEXICON_WORDS):
-    """(ranks as a broadcast variable, where the lexicon lies).  The driver sees ``limit`` words at most."""
+    """(ranks as a broadcast variable, where the lexicon lies).
+
+    The frequent words are those above a count, so the driver sees ``limit`` words at most from all tasks
+    together, and before them one row per sixteenth of a power of two of the counts.
+    """
     spark = texts.sparkSession
     data = vocabulary(directory)
     ranks = parse_ranks(data)
-    top = word_counts(texts, column).orderBy(F.desc("n"), "word").limit(limit).select("word").collect()
+    size = F.floor(F.log2("n") * 16).cast("int")
+    counts = Scratch(spark, "words").table(word_counts(texts, column).where("n > 1").withColumn("size", size))
+    least, room = None, limit
+    for step in counts.groupBy("size").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("size")).collect():
+        room -= step["words"]
+        if room < 0:
+            break
+        least = step["size"]
+    top = counts.where(F.col("size") >= least).select("word").collect() if least is not None else []
     lexicon = Lexicon.build([(w, merge_word(w, ranks)) for w in (r["word"].encode() for r in top)])
     return spark.sparkContext.broadcast(data), publish(spark, lexicon.to_bytes(), "lexicon")
 
@@ -254,3 +266,20 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", column: str = "text", di
 
     kind = docs.schema["k"].dataType.simpleString()
     return docs.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+
+
+def decode_corpus(encoded: DataFrame, key: str = "doc_id", directory: str = TOKENIZERS) -> DataFrame:
+    """(key, ids) to (key, text): what the ids spell; null ids and empty lists are the empty text.
+
+    Ids outside the vocabulary are errors; bytes that are no UTF-8 become replacement characters.
+    """
+    data = encoded.sparkSession.sparkContext.broadcast(vocabulary(directory))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {rank: word for word, rank in parse_ranks(data.value).items()}
+        for batch in batches:
+            texts = [b"".join([token[i] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "text"])
+
+    kind = encoded.schema[key].dataType.simpleString()
+    return encoded.select(F.col(key).alias("k"), "ids").mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)

@@ -15,14 +15,17 @@ relative standard error of about 0.65/sqrt(ROWS) for large sets and far less for
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.storage import shared_folder, write_text
+
 #: Rows of a matrix (a power of two below 2^16): relative standard error 1.01 %.
 ROWS = 4096
 #: Columns; the last takes all higher ranks.  Good for 2^40 x ROWS identifiers.
@@ -139,6 +142,33 @@ def day_partials(records: DataFrame, rows: int = ROWS, hashed=F.xxhash64) -> Dat
 DIMS = ("day", "predicate", "rec_type")
 
 
+class PartialStore:
+    """Day sketches kept in a folder: batches are appended as they come in, later rows of a day included.
+
+    Each batch is written once, by day, and never changed; sketches of one group from several batches merge by
+    bitwise union whenever they are read, so appending the same records twice changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, rows: int = ROWS, hashed=F.xxhash64):
+        self.spark, self.rows, self.hashed = spark, rows, hashed
+        self.path = path or f"{shared_folder(spark)}/partials-{uuid.uuid4().hex}"
+        if path is None:
+            write_text(spark, f"{self.path}/.begun", "", remove_at_exit=self.path)
+
+    def append(self, records: DataFrame) -> None:
+        """Sketch ``records`` - any days, any number of times - and add the sketches to the folder."""
+        parts = day_partials(records, self.rows, self.hashed)
+        # One file a day as long as it is small; adaptive execution cuts days that are large.
+        parts.hint("rebalance", "day").withColumn("on", F.col("day").cast("string")).write.mode("append").partitionBy("on").parquet(self.path)
+
+    def read(self, first: str | None = None, last: str | None = None) -> DataFrame:
+        """(day, predicate, rec_type, row, bits) of the days from ``first`` to ``last``: only their folders are read."""
+        out = self.spark.read.schema("day DATE, predicate INT, rec_type INT, `row` INT, bits BIGINT, `on` STRING").parquet(self.path)
+        for bound, keep in ((first, F.col("on") >= first), (last, F.col("on") <= last)):
+            out = out if bound is None else out.where(keep)
+        return out.drop("on")
+
+
 def all_groups(partials: DataFrame) -> DataFrame:
     """Sketches of every combination of day, predicate and record type, totals included.
 
@@ -158,3 +188,15 @@ def all_groups(partials: DataFrame) -> DataFrame:
 def distinct_counts(records: DataFrame, rows: int = ROWS) -> DataFrame:
     """Estimated distinct subjects with error bounds for all combinations of day, predicate, type."""
     return estimate(all_groups(day_partials(records, rows)), ["grouped", *DIMS], rows)
+
+
+def counts_with_partials(store: PartialStore) -> DataFrame:
+    """The counts of all groups and, next to them, the partial results they were merged from.
+
+    (grouped, day, predicate, rec_type, bits_set, estimate, std_error, low, high, row, bits): rows with an
+    estimate are counts; rows with ``bits`` are the stored day sketches, to be merged by bitwise union with those
+    of other days or other machines.
+    """
+    partials = store.read()
+    counts = estimate(all_groups(partials), ["grouped", *DIMS], store.rows)
+    return counts.unionByName(merge(partials, by=DIMS).withColumn("grouped", F.lit(",".join(DIMS))), allowMissingColumns=True)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.bpe import slices
+from quadrille.operators.hotjoin import salted_join
 from quadrille.storage import Scratch
 
 #: Consecutive words that make a leak, and words in a hashed gram.
@@ -124,8 +125,10 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM) ->
     docs = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
     items = scratch.table(items.select(F.col("item_id").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL"))
     marks = scratch.table(fingerprint_rows(items, span, k).select(F.col("id").alias("item_id"), F.col("pos").alias("item_at"), "fp").distinct())
-    known = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    hits = fingerprint_rows(docs, span, k).join(known, "fp").select("item_id", F.col("id").alias("doc_id"), "pos", "item_at")
+    prints = fingerprint_rows(docs, span, k)
+    # Passages repeated everywhere make hot fingerprints: without a broadcast they are salted.
+    hits = prints.join(F.broadcast(marks), "fp") if marks.count() <= BROADCAST_ROWS else salted_join(scratch.table(prints), marks, "fp")
+    hits = hits.select("item_id", F.col("id").alias("doc_id"), "pos", "item_at")
     # One hit a diagonal and stretch is enough to find the passage around it; equal hits are combined
     # before the shuffle.  A pair's hits are bounded by the two texts.
     pairs = scratch.table(hits.groupBy("item_id", "doc_id").agg(F.collect_set(F.struct("pos", "item_at")).alias("hits")))

@@ -14,18 +14,13 @@ from collections.abc import Iterable
 
 import numpy as np
 
-FIELDS = ("first", "final", "label", "target", "output", "offset", "ids")
+#: ``key`` is (state, label) of every arc, in order, as one number; it is stored like the rest, so it is shared, too.
+FIELDS = ("first", "final", "key", "target", "output", "offset", "ids")
 
 
 class Lexicon:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.__dict__.update(arrays)
-        #: (state, label) in order; arcs are stored sorted by it.
-        self.key = self.source_keys()
-
-    def source_keys(self) -> np.ndarray:
-        states = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first))
-        return states * 256 + self.label
 
     @staticmethod
     def build(entries: Iterable[tuple[bytes, list[int]]]) -> "Lexicon":
@@ -70,7 +65,7 @@ class Lexicon:
         offset = np.zeros(len(items) + 1, np.int64)
         np.cumsum([len(i) for _, i in items], out=offset[1:])
         arrays = {
-            "first": np.array(first, np.int64), "final": np.array([f for f, _, _ in done], np.bool_), "label": np.array(label, np.int64), "target": np.array(target, np.int64),
+            "first": np.array(first, np.int64), "final": np.array([f for f, _, _ in done], np.bool_), "key": np.repeat(np.arange(len(first) - 1, dtype=np.int64), np.diff(first)) * 256 + np.array(label, np.int64), "target": np.array(target, np.int64),
             "output": np.array(output, np.int64), "offset": offset, "ids": np.array([x for _, i in items for x in i], np.int32), "root": np.array([root], np.int64),
         }
         return Lexicon(arrays)

@@ -64,6 +64,21 @@ def test_distinct_counts_groups_nulls_and_merge(spark):
     by = list(distinct.DIMS)
     assert rows(distinct.merge(*halves, by=by), *by, "row", "bits") == rows(parts, *by, "row", "bits")
     assert distinct.distinct_counts(df.limit(0)).count() == 0
+    # Appended in batches, some of it twice, the store gives the same partial results and counts.
+    store = distinct.PartialStore(spark)
+    for c in ("predicate = 0", "predicate <> 0 OR predicate IS NULL", "predicate = 9 OR rec_type = 2"):
+        store.append(df.where(c))
+    both = distinct.counts_with_partials(store)
+    assert rows(both.where("bits IS NOT NULL"), *by, "row", "bits") == rows(parts, *by, "row", "bits")
+    assert {(r["grouped"], str(r["day"]), r["predicate"], r["rec_type"]): r["estimate"] for r in both.where("bits IS NULL").collect()} == {k: r["estimate"] for k, r in got.items()}
+    assert {str(r["day"]) for r in store.read("2026-01-02", "2026-01-03").select("day").distinct().collect()} == {"2026-01-02", "2026-01-03"}
+
+
+def test_a_million_and_more_members(spark):
+    ids = spark.range(0, 3_000_000, 1, 4).withColumn("g", F.when(F.col("id") < 1_200_000, 1).otherwise(2)).select("g", F.col("id").cast("string").alias("x"))
+    got = {r["g"]: r for r in distinct.estimate(distinct.sketch(ids, F.col("x"), {"g": F.col("g")}), ["g"]).collect()}
+    for g, n in ((1, 1_200_000), (2, 1_800_000)):
+        assert got[g]["low"] <= n <= got[g]["high"] and abs(got[g]["estimate"] / n - 1) < 0.035 and got[g]["std_error"] / n < 0.012
 
 
 # -- 2 -----------------------------------------------------------------------------------------------
@@ -91,9 +106,54 @@ def test_seen_ties_nulls_and_empty(spark):
     assert feed(spark, [(5, 1, "a"), (5, 1, "a"), (6, 1, "a"), (6, 1, "a"), (5, 1, "b")], batches=2) == [6, 6]
     assert feed(spark, [(None, 1, "a"), (None, 1, "a"), (3, 1, "a")]) == [3]
     assert feed(spark, []) == []
-    df = spark.createDataFrame([(i, i % 40, "k", 1) for i in range(80)], KEYED)
-    r = seen.error_rate(df, [F.col("a"), F.col("b")], F.col("pos"), hash_bits=4).first()
-    assert (r["n_rows"], r["n_seen"], r["n_keys"], r["wrong_verified"]) == (80, 40, 40, 0) and r["wrong_by_hash"] >= 24
+    df = spark.createDataFrame([(i, i % 200, "k", 1) for i in range(400)], KEYED)
+    for hashed in (None, seen.md5_hash):
+        r = seen.error_rate(df, [F.col("a"), F.col("b")], F.col("pos"), hash_bits=4, hashed=hashed).first()
+        assert (r["n_rows"], r["n_seen"], r["n_keys"], r["wrong_verified"]) == (400, 200, 200, 0) and r["wrong_by_hash"] >= 184 and r["n_checked"] > 0
+    assert seen.error_rate(df.limit(0), [F.col("a")], F.col("pos")).first()["n_keys"] == 0
+
+
+def test_store_reopened_fences_and_order(spark, tmp_path):
+    path, key = f"file://{tmp_path}/store", [F.col("id")]
+    of = lambda a, b: spark.range(a, b)
+    kinds = ["bigint"]
+    store = seen.SeenStore(spark, path, kinds, blocks=8)
+    for k in range(5):  # five runs become two by merges of merges
+        assert store.probe(store.prepare(of(100 * k, 100 * k + 150), key, F.col("id"))).count() == (50 if k else 0)
+    again = seen.SeenStore(spark, path, kinds)
+    assert again.blocks == 8 and sum(e["rows"] for e in again.state["runs"]) == 550
+    again.compact()
+    assert [e["level"] for e in again.state["runs"]] == [2, 0]
+    # A few keys reach a few blocks: the others aren't read.
+    few = again.prepare(of(3, 5), key, F.col("id"))
+    reach = {str(r[0]): [r[1], r[2]] for r in few.groupBy("block").agg(F.min("h"), F.max("h")).collect()}
+    part = again._within(again.state["runs"][0], reach)
+    with seen._runs_as_written(spark):
+        probe = few.repartition(8, "block").join(part.hint("merge"), again.cols)
+        plan = probe._sc._jvm.PythonSQLUtils.explainString(probe._jdf.queryExecution(), "formatted")
+    assert f"SelectedBucketsCount: {len(reach)} out of 8" in plan and len(reach) < 8
+    assert plan.count("- Sort (") == 1 and plan.count("- Exchange (") == 1  # the batch's
+    assert sorted(r["pos"] for r in again.probe(few, add=False).collect()) == [3, 4]
+    # Each block is one file sorted by hash, and a probe plans no sort above a run.
+    import pyarrow.parquet as pq
+
+    for e in again.state["runs"]:
+        files = sorted((tmp_path / "store" / e["name"]).glob("*.parquet"))
+        assert len({f.name.split("_")[-1].split(".")[0] for f in files}) == len(files)
+        for f in files:
+            h = pq.read_table(f)["h"].to_pylist()
+            assert h == sorted(h)
+    with pytest.raises(ValueError):
+        seen.SeenStore(spark, path, ["string"])
+
+
+def test_hot_key_in_a_store(spark, tmp_path):
+    store = seen.SeenStore(spark, f"file://{tmp_path}/hot", ["int"], blocks=4)
+    rows_of = lambda a, b: spark.range(a, b).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 7 ELSE int(id) END k")
+    first = sorted(r["pos"] for r in store.probe(store.prepare(rows_of(0, 900), [F.col("k")], F.col("id"))).collect())
+    assert first == [i for i in range(900) if i % 3 and i > 1]
+    second = sorted(r["pos"] for r in store.probe(store.prepare(rows_of(900, 1800), [F.col("k")], F.col("id"))).collect())
+    assert second == [i for i in range(900, 1800) if i % 3]
 
 
 # -- 4 -----------------------------------------------------------------------------------------------
@@ -145,7 +205,7 @@ def test_lexicon_round_trip(tmp_path):
     lex = Lexicon.open(str(path))
     asked = [*words, *(bytes(rnd.choices(b"abcdef", k=rnd.randrange(0, 9))) for _ in range(2000))]
     assert all((lex.ids_of(n) == words[w]) if w in words else n == -1 for w, n in zip(asked, lex.lookup(asked).tolist()))
-    assert len(lex.label) < sum(map(len, words)) / 2  # prefixes and suffixes are shared
+    assert len(lex.key) < sum(map(len, words)) / 2  # prefixes and suffixes are shared
     assert Lexicon.build([]).lookup([b"", b"a"]).tolist() == [-1, -1]
 
 

@@ -47,11 +47,26 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, specs = _eav(spark, sf_dir)
     out = widen.widen(rows, specs)
-    # Compared as text: engines print decimals of unequal scale differently.
-    cast = [F.col(c).cast("string").alias(c) if k in ("integer", "date") else F.col(c).cast("double").alias(c) if k == "decimal" else F.col(c) for _, c, k in specs]
+    # Numbers as exact text: engines print decimals of unequal scale differently.
+    cast = [widen.exact_text(out, c).alias(c) if k in ("integer", "decimal") else F.col(c).cast("string").alias(c) if k == "date" else F.col(c) for _, c, k in specs]
     return out.select("s", *cast)
 
 
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows, and a number with 12 decimals, one of 45 digits and one of 30 and 20 for every hundredth of their entities' rows."""
+    q = read(spark, sf_dir, "quads").select("quad_id", "s", "p", "o", "o_kind")
+    long = F.when(F.col("quad_id") % 300 == 0, "0.123456789012").when(F.col("quad_id") % 300 == 100, "-00" + "123456789" * 5).otherwise("9" * 30 + ".50000000000000000001")
+    planted = q.where("quad_id % 100 = 0").select((F.col("quad_id") + 1_000_000_000).alias("quad_id"), "s", F.lit(DEF + "toll").alias("p"), long.alias("o"), F.lit(2).cast("tinyint").alias("o_kind"))
+    return q.unionByName(planted)
+
+
+def p5_long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tolls of all entities, among them planted ones that no number column holds."""
+    specs = [x for x in widen.attribute_specs(read(spark, sf_dir, "attribute_specs")) if x[1] == "toll"]
+    out = widen.widen(_planted(spark, sf_dir), specs)
+    return out.select("s", widen.exact_text(out, "toll").alias("toll"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.rejected(read(spark, sf_dir, "tql_lines")).select("file_no", "line_no")
 
@@ -86,7 +101,7 @@ def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.eager_join(quads, read(spark, sf_dir, "dict_terms"), ("pred", "code"), by=["term"], distinct="subj")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p3_cycles, p5_found, p5_wide, p6_found, p6_rejects, p6_quads, p7_found, p7_counts, p7_terms)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p3_cycles, p5_found, p5_wide, p5_long_numbers, p6_found, p6_rejects, p6_quads, p7_found, p7_counts, p7_terms)}
 
 _LINKS = f"""links AS (
   SELECT child, min(parent) parent FROM (
@@ -117,10 +132,17 @@ _COLS = {
 
 def _wide_column(col: str, kind: str) -> str:
     v = f"max(v) FILTER (WHERE col_name = '{col}')"
-    v = {"string": v, "integer": f"CAST(CAST({v} AS HUGEINT) AS VARCHAR)", "decimal": f"CAST({v} AS DOUBLE)", "date": f"CAST(CAST({v} AS DATE) AS VARCHAR)", "boolean": f"lower({v}) IN ('true', '1')"}[kind]
+    v = {"string": v, "integer": _number(v), "decimal": _number(v), "date": f"CAST(CAST({v} AS DATE) AS VARCHAR)", "boolean": f"lower({v}) IN ('true', '1')"}[kind]
     return f"{v} AS {col}"
 
 
+def _number(v: str) -> str:
+    """A readable number as shortest exact text."""
+    whole, part = f"ltrim(regexp_extract({v}, '^[+-]?([0-9]*)', 1), '0')", f"rtrim(regexp_extract({v}, '[.]([0-9]*)$', 1), '0')"
+    body = f"(CASE WHEN {whole} = '' THEN '0' ELSE {whole} END || CASE WHEN {part} = '' THEN '' ELSE '.' || {part} END)"
+    return f"CASE WHEN {v} LIKE '-%' AND {body} <> '0' THEN '-' ELSE '' END || {body}"
+
+
 _ESC = r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[^uU])"
 _IRI = rf"<([^\x00-\x1f>\\]|{_ESC})*>"
 _LET = r"A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02FF}\x{0370}-\x{037D}\x{037F}-\x{1FFF}"
@@ -148,6 +170,9 @@ ORACLE = {
     "p5_found": f"WITH {_READ} SELECT p, s FROM rows_read GROUP BY p, s HAVING NOT bool_or(ok)",
     "p5_wide": f"WITH {_READ}, best AS (SELECT s, col_name, max_by(v, quad_id) FILTER (WHERE ok) v FROM rows_read GROUP BY s, col_name) "
     f"SELECT s, {', '.join(_wide_column(c, k) for c, k in _COLS.items())} FROM best GROUP BY s",
+    "p5_long_numbers": f"WITH planted AS (SELECT quad_id, s, p, o, o_kind FROM quads UNION ALL SELECT quad_id + 1000000000, s, '{DEF}toll', CASE quad_id % 300 WHEN 0 THEN '0.123456789012' "
+    f"WHEN 100 THEN '-00' || repeat('123456789', 5) ELSE repeat('9', 30) || '.50000000000000000001' END, 2 FROM quads WHERE quad_id % 100 = 0), {_READ.replace('FROM quads q', 'FROM planted q')}, "
+    f"best AS (SELECT s, max_by(v, quad_id) FILTER (WHERE ok) v FROM rows_read WHERE col_name = 'toll' GROUP BY s) SELECT s, {_number('v')} AS toll FROM best",
     "p6_found": _LINES,
     "p7_found": "WITH c AS (SELECT 'pred' field_name, pred code, count(*) n FROM coded_quads GROUP BY pred UNION ALL SELECT 'rec_type', rec_type, count(*) FROM stat_records "
     "WHERE rec_type IS NOT NULL GROUP BY rec_type) SELECT field_name, code FROM (SELECT *, sum(n) OVER (PARTITION BY field_name) total FROM c) WHERE n * 20 >= total",

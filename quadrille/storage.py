@@ -70,7 +70,9 @@ class Scratch:
 
     def bucketed(self, df: DataFrame, buckets: int, keys: Sequence[str], split: str | None = None) -> DataFrame:
         """Write ``df`` hash-bucketed and sorted by ``keys``: joins on exactly these keys with
-        another frame hash-partitioned into ``buckets`` parts need no exchange of this side."""
+        another frame hash-partitioned into ``buckets`` parts need no exchange of this side, and if every
+        bucket is one file no sort either (the session is set to let scans report that)."""
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
         path, name = self._new(), "q_" + uuid.uuid4().hex
         writer = df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet")
         (writer.partitionBy(split) if split else writer).saveAsTable(name)

@@ -223,8 +223,23 @@ def test_hot_join(spark):
 
 
 def test_numbers_beyond_their_columns(spark):
-    from quadrille.operators.widen import readable, typed
-
-    df = spark.createDataFrame([("0.1234567895", "7"), ("-0.1234567895", "9" * 38), ("9" * 29 + ".5", "+1"), ("1" + "0" * 29, "1" + "0" * 38)], "d string, i string")
-    got = df.select(typed(F.col("d"), "decimal").cast("string"), typed(F.col("i"), "integer").cast("string"), readable(F.col("d"), "decimal"), readable(F.col("i"), "integer")).collect()
-    assert [tuple(r) for r in got] == [("0.123456790", "7", True, True), ("-0.123456790", "9" * 38, True, True), ("9" * 29 + ".500000000", "1", True, True), (None, None, True, True)]
+    data = [("a", "0.12345678901", 1), ("b", "-123456789012345678901234567890.5", 2), ("c", "+007.500", 3), ("d", "-0.0", 4), ("e", "9" * 45 + "." + "1" * 9, 5), ("f", ".", 6)]
+    df = spark.createDataFrame([(i, s, "d", o, 2) for s, o, i in data] + [(9, "a", "i", "1" * 45, 2), (8, "b", "i", "-0012", 2)], "quad_id int, s string, p string, o string, o_kind int")
+    out = widen.widen(df, [("d", "num", "decimal"), ("i", "whole", "integer")])
+    assert out.columns == ["s", "num", "num_text", "whole", "whole_text"]
+    got = {r["s"]: (r[1], r[2]) for r in out.select("s", widen.exact_text(out, "num"), widen.exact_text(out, "whole")).collect()}
+    assert got == {
+        "a": ("0.12345678901", "1" * 45), "b": ("-123456789012345678901234567890.5", "-12"), "c": ("7.5", None), "d": ("0", None), "e": ("9" * 45 + "." + "1" * 9, None), "f": (None, None)
+    }
+    small = widen.widen(df.where("s IN ('a', 'c') AND p = 'd'"), [("d", "num", "decimal")])
+    assert small.dtypes == [("s", "string"), ("num", "decimal(12,11)")]
+    assert widen.widen(df.limit(0), [("d", "num", "decimal")]).count() == 0
+
+
+def test_wide_rows_of_a_hot_entity(spark):
+    df = spark.range(3000).selectExpr("id quad_id", "CASE WHEN id % 3 > 0 THEN 'hot' ELSE 's' || id END s", "CASE WHEN id % 2 = 0 THEN 'p' ELSE 'q' END p", "CASE WHEN id % 5 = 0 THEN 'x' ELSE string(id) END o", "2 o_kind")
+    got = {r["s"]: (r["a"], r["b"]) for r in widen.widen(df, [("p", "a", "integer"), ("q", "b", "string")]).collect()}
+    assert len(got) == 1001 and got["hot"] == (2998, "2999")
+    plan = widen.widen(df, [("p", "a", "integer"), ("q", "b", "string")])
+    text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
+    assert "- Sort (" not in text and "- Exchange (" not in text

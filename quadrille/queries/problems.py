@@ -143,10 +143,10 @@ def _number(v: str) -> str:
     return f"CASE WHEN {v} LIKE '-%' AND {body} <> '0' THEN '-' ELSE '' END || {body}"
 
 
-_ESC = r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[^uU])"
-_IRI = rf"<([^\x00-\x1f>\\]|{_ESC})*>"
+_ESC = r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[^uU])"
+_IRI = rf"<(?:[^\x00-\x1f>\\]|{_ESC})*>"
 _LET = r"A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02FF}\x{0370}-\x{037D}\x{037F}-\x{1FFF}"
-_QUO = rf'"([^"\\]|{_ESC})*"' + rf"|'([^'\\]|{_ESC})*'"
+_QUO = rf'"(?:[^"\\]|{_ESC})*"' + rf"|'(?:[^'\\]|{_ESC})*'"
 _TERMS = rf"{_IRI}|_:[{_LET}0-9_][{_LET}0-9_\x{{00B7}}\x{{0300}}-\x{{036F}}\-]*|({_QUO})(@[A-Za-z]+(-[A-Za-z0-9\-]*[A-Za-z0-9])?|\^\^{_IRI})?|(?s:.)"
 _VALUE = {
     "integer": "regexp_full_match(v, '[+-]?[0-9]+')",
@@ -161,7 +161,35 @@ f AS (SELECT *, array_to_string(list_transform(k, lambda x: CASE WHEN x = '.' TH
 SELECT file_no, line_no FROM f WHERE raw_line IS NULL OR NOT (len(k) = 0 OR k[1] = '#' OR (regexp_full_match(kinds, '[ib]i[ibl][ib]?[.]')
   AND CASE dt {" ".join(f"WHEN '{d}' THEN {c}" for d, c in _VALUE.items())} ELSE true END))"""
 
+_BN = rf"_:[{_LET}0-9_][{_LET}0-9_\x{{00B7}}\x{{0300}}-\x{{036F}}\-]*"
+_GROUPS = (
+    rf"(?s)^[ \t]*({_IRI}|{_BN})[ \t]*({_IRI})[ \t]*(?:(?:({_IRI})|({_QUO})(?:(@[A-Za-z]+(?:-[A-Za-z0-9\-]*[A-Za-z0-9])?)|\^\^({_IRI}))?)[ \t]*({_IRI}|{_BN})?"
+    rf"|({_BN})(?:[ \t]*({_IRI})|[ \t]+({_BN}))?)[ \t]*\.[ \t]*\z"
+)
+
+
+def _plain(v: str, literal: bool) -> str:
+    """Escapes resolved, in SQL."""
+    named = "WHEN y[2] = 'n' THEN chr(10) WHEN y[2] = 't' THEN chr(9) WHEN y[2] = 'r' THEN chr(13) WHEN y[2] = 'b' THEN chr(8) WHEN y[2] = 'f' THEN chr(12) " if literal else ""
+    return (
+        f"CASE WHEN contains({v}, '\\') THEN array_to_string(list_transform(regexp_extract_all({v}, '(?s)\\\\u[0-9A-Fa-f]{{4}}|\\\\U[0-9A-Fa-f]{{8}}|\\\\.|[^\\\\]+'), "
+        f"lambda y: CASE WHEN y[1] <> '\\' THEN y WHEN y[2] IN ('u', 'U') THEN chr(CAST('0x' || y[3:] AS INTEGER)) {named}ELSE y[2:] END), '') ELSE {v} END"
+    )
+
+
+_TERM_TEXT = lambda c: f"CASE WHEN {c}[1] = '<' THEN {_plain(f'{c}[2:-2]', False)} ELSE {c} END"
+_QUADS = (
+    "WITH bad AS (" + _LINES + "), m AS (SELECT file_no, line_no, regexp_extract(regexp_replace(raw_line, '\\r\\z', ''), '" + _GROUPS.replace("'", "''") + "', ['s', 'p', 'i', 'q', 'l', 'd', 'ga', 'b', 'gb', 'gc']) x "
+    "FROM tql_lines ANTI JOIN bad USING (file_no, line_no)), y AS (SELECT file_no, line_no, x.s s, x.p p, x.i || x.b || x.q o, x.l l, x.d d, x.ga || x.gb || x.gc g FROM m WHERE x.p <> ''), "
+    f"z AS (SELECT *, CASE WHEN g <> '' THEN {_TERM_TEXT('g')} END gt FROM y) "
+    f"SELECT file_no, line_no, {_TERM_TEXT('s')} s, CAST(CASE WHEN s[1] = '<' THEN 0 ELSE 1 END AS TINYINT) s_kind, {_TERM_TEXT('p')} p, "
+    f"CASE WHEN o[1] IN ('<', '_') THEN {_TERM_TEXT('o')} ELSE {_plain('o[2:-2]', True)} END o, CAST(CASE WHEN o[1] = '<' THEN 0 WHEN o[1] = '_' THEN 1 ELSE 2 END AS TINYINT) o_kind, "
+    f"nullif(l[2:], '') o_lang, CASE WHEN d <> '' THEN {_TERM_TEXT('d')} END o_dt, CASE WHEN gt NOT IN ('sesame:nil', 'http://www.openrdf.org/schema/sesame#nil') THEN gt END g, "
+    "CAST(CASE WHEN gt NOT IN ('sesame:nil', 'http://www.openrdf.org/schema/sesame#nil') THEN CASE WHEN g[1] = '<' THEN 0 ELSE 1 END END AS TINYINT) g_kind FROM z"
+)
+
 ORACLE = {
+    "p6_quads": _QUADS,
     "p3_found": f"{_FOUND} {_NODES}",
     "p3_paths": f"{_FOUND}, t.path {_NODES}",
     "p3_cycles": f"WITH RECURSIVE {_LINKS} SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM tree)",

@@ -3,7 +3,7 @@
 import datetime
 import random
 
-import pandas as pd
+import pyarrow as pa
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -184,8 +184,8 @@ def test_rejects_against_brute_force():
     lines = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(3, 11))) for _ in range(1500)]
     lines += [" ".join(rnd.choice(bits[:9]) for _ in range(rnd.randrange(2, 6))) + rnd.choice([" .", "."]) for _ in range(1500)]
     lines = [x for x in lines if x.strip(" \t") and not x.lstrip(" \t").startswith("#")]
-    pdf = pd.DataFrame({"file_no": 1, "line_no": range(len(lines)), "raw_line": lines})
-    bad = set(pd.concat(rejects._batches(iter([pdf]))).dropna(subset=["message"])["line_no"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(lines), pa.int32()), pa.array(range(len(lines)), pa.int32()), pa.array(lines)], names=["file_no", "line_no", "raw_line"])
+    bad = {r["line_no"] for b in rejects._batches(iter([batch])) for r in b.to_pylist() if r["message"]}
     assert bad == {n for n, x in enumerate(lines) if not Scanner(x).good()}
 
 

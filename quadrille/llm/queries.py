@@ -138,7 +138,11 @@ _GROUPS = (
     "reach AS (SELECT a member, a seed FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.a = e.a AND f.b < e.a) UNION SELECT e.b, r.seed FROM reach r JOIN e ON e.a = r.member), "
     "g AS (SELECT member, min(seed) rep FROM reach GROUP BY member) "
 )
+# NFKC as far as it tells words apart in these texts: wide digits.
+_WORDS = "regexp_extract_all(lower(translate(nfc_normalize({}), '０１２３４５６７８９', '0123456789')), '[\\p{{L}}\\p{{Nd}}]+')"
+_SPANS = "SELECT {id}, hash(w[k:k+11]) h FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) k FROM (SELECT {id}, " + _WORDS + " w FROM {table} WHERE {text} IS NOT NULL) WHERE len(w) >= 12)"
 ORACLE = {
+    "p9_found": f"SELECT DISTINCT item_id, doc_id FROM ({_SPANS.format('text', id='doc_id', table='documents', text='text')}) JOIN ({_SPANS.format('item_text', id='item_id', table='test_items', text='item_text')}) USING (h)",
     "p1_day_partials": f"SELECT CAST(seen_at AS DATE) \"day\", predicate, rec_type, CAST(CASE WHEN subject IS NULL THEN 0 ELSE {_HASH} & 4095 END AS INTEGER) \"row\", "
     f"bit_or(CASE WHEN subject IS NULL THEN 0 ELSE CAST(1 AS BIGINT) << CAST({_RANK} AS INTEGER) END) bits FROM stat_records GROUP BY 1, 2, 3, 4",
     "p1_sketch_bits": f"WITH r AS (SELECT CAST(seen_at AS DATE) AS day, predicate, rec_type, CASE WHEN subject IS NULL THEN NULL ELSE ({_HASH} & 4095) * 64 + {_RANK} END AS cell FROM stat_records) "

@@ -278,8 +278,44 @@ def test_pieces_cover_overlap_and_end_well(spark, reference):
         assert reference.decode(list(r["ids"])).endswith("saw it.")
 
 
+def sentence_ends(text):
+    return [m.end() for m in split.STOP.finditer(text) if split.ends_sentence(text, m.start(), m.end())]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "He met Dr. Smith at 5 p.m. near No. 7 harbour: the toll was due.| Then it rained.| ",
+        "Am 3. März kam Prof. Dr. Huber, z.B. mit 2.5 Tonnen, bzw. mehr.| Das war 1998.| Gut?| Ja!| ",
+        "M. Dupont a dit : « Oui. »| Ensuite, J. R. Tolk est parti ... et voilà.| 日本。|語。|",
+        "It fell, e.g. by ca. 10 per cent.| \"Really?\"| asked Mrs. Low.| See fig. 3, sec. IV. of the act.| ",
+    ],
+)
+def test_sentence_ends(text):
+    plain, want = "", []
+    for part in text.split("|")[:-1]:
+        plain += part
+        want.append(len(plain))
+    plain += text.split("|")[-1]
+    assert sentence_ends(plain + " ") == want
+
+
+def test_recursion_through_the_levels(reference):
+    """Each piece ends at the highest level that the limit leaves an end of."""
+    text = "One two. Three four.\n\nFive six seven.\n\n\n\nEight nine ten eleven twelve. " + "x" * 60 + " end"
+    words = bpe.cutter()(text)
+    ids = [reference.encode_ordinary(w) for w in words]
+    size, flat = np.array([len(i) for i in ids]), np.array([x for i in ids for x in i])
+    token = [reference.decode_single_token_bytes(i) for i in range(50_000)]
+    got = split.split_text(text, words, size, flat, token, limit=10, overlap=2)
+    assert [split.LEVELS[k] for _, _, k in got][:3] == ["paragraph", "section", "sentence"] and "anywhere" in {split.LEVELS[k] for _, _, k in got}
+    for first, stop, _ in got:
+        assert stop - first <= 10
+    assert got[-1][1] == len(flat) and all(b[0] == a[1] - 2 for a, b in zip(got, got[1:]))
+
+
 def test_colons_end_no_sentence():
-    ends = lambda text: [m.end() for m in split.SENTENCE.finditer(text)]
+    ends = sentence_ends
     assert ends("Frage 16,432: welche? Question 39 : quelle. «Note:» then. ") == [21, 43, 57]
     assert len(ends("Բարև: Այո։ ")) == 2
 

@@ -1,6 +1,7 @@
 """The SPARQL 1.1 function library as column expressions.
 
-Values are typed columns: ``term`` (an encoded term, see ``rules.terms``), ``str``, ``int``, ``num``, ``bool``.
+Values are typed columns: ``term`` (an encoded term, see ``rules.terms``), ``str``, ``int``, ``bool`` and ``number``, a
+struct of a numeric type's rank (1 integer, 2 decimal, 3 float, 4 double) with the exact integer, the exact decimal and the double.
 Every function maps values to a value; a type error is null, as an unbound result is.
 """
 
@@ -25,6 +26,27 @@ PARENT = {
 }
 
 
+#: Exact types: integers of 38 digits, decimals of 22 digits before and 16 after the point.
+WHOLE, EXACT = "decimal(38,0)", "decimal(38,16)"
+#: Operands of this type multiply and divide without loss of digits the result could hold.
+NARROW = "decimal(19,9)"
+TYPES = {1: "xsd:integer", 2: "xsd:decimal", 3: "xsd:float", 4: "xsd:double"}
+
+
+def let(f: Callable[..., Column], *values: Column) -> Column:
+    """``f`` of values that are worked out once, however often ``f`` uses them: nested expressions stay small."""
+    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.transform(F.array(bound), lambda z: f(*[z[f"v{i}"] for i in range(len(values))]))[0]
+
+
+def pack(rank: Column, whole: Column, exact: Column, real: Column) -> Column:
+    """The struct of a ``number`` value; null if the rank is."""
+    whole = F.when(rank == 1, whole.try_cast(WHOLE))
+    exact = F.when(rank == 1, whole.try_cast(EXACT)).when(rank == 2, exact.try_cast(EXACT))
+    real = F.when(rank == 1, whole.cast("double")).when(rank == 2, exact.cast("double")).otherwise(real)
+    return F.when(rank.isNotNull() & real.isNotNull(), F.struct(rank.cast("int").alias("r"), whole.alias("i"), exact.alias("d"), real.alias("f")))
+
+
 @dataclass
 class Value:
     col: Column
@@ -65,32 +87,54 @@ class Library:
             return v.col
         if v.kind == "str":
             return F.concat(F.lit('"'), v.col, F.lit('"'))
-        dt = {"int": "xsd:integer", "num": "xsd:double", "bool": "xsd:boolean"}[v.kind]
-        return self.typed(v.col.cast("string"), dt)
+        if v.kind == "number":
+            return let(self._number_term, v.col)
+        return self.typed(v.col.cast("string"), {"int": "xsd:integer", "bool": "xsd:boolean"}[v.kind])
+
+    def _number_term(self, n: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(n["d"].cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
+        text = F.when(n["r"] == 1, n["i"].cast("string")).when(n["r"] == 2, digits).when(n["r"] == 3, n["f"].cast("float").cast("string")).otherwise(n["f"].cast("string"))
+        name = F.element_at(F.array(*[F.lit(self.vocab(x)) for x in TYPES.values()]), n["r"])
+        return F.concat(F.lit('"'), F.replace(text, F.lit("Infinity"), F.lit("INF")), F.lit('"^^'), name)
 
     def text(self, v: Value) -> Column:
-        return label(v.col) if v.kind == "term" else v.col.cast("string")
+        return label(v.col) if v.kind == "term" else label(self.term(v)) if v.kind == "number" else v.col.cast("string")
 
-    def is_numeric(self, v: Value) -> Column:
+    def num(self, v: Value) -> Column:
+        """The ``number`` struct of a value; null if it is no number."""
+        if v.kind == "number":
+            return v.col
+        none = F.lit(None)
+        if v.kind == "int":
+            return pack(F.when(v.col.isNotNull(), 1), v.col, none, none)
         if v.kind != "term":
-            return F.lit(v.kind in ("int", "num"))
-        return F.coalesce(datatype_of(v.col, self.vocab).isin(self.numeric) & label(v.col).try_cast("double").isNotNull(), F.lit(False))
+            return pack(none.cast("int"), none, none, none)
+        dt, text = datatype_of(v.col, self.vocab), F.trim(label(v.col))
+        of = lambda n: dt == self.vocab(f"xsd:{n}")
+        whole = dt.isin([x for x in self.numeric if not x.endswith(("decimal", "double", "float"))]) & text.rlike(r"^[+-]?[0-9]+\z")
+        rank = F.when(whole, 1).when(of("decimal") & text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"), 2).when(of("float"), 3).when(of("double"), 4)
+        real = F.when(text == "INF", float("inf")).when(text == "-INF", float("-inf")).otherwise(text.try_cast("double"))
+        # Integers beyond 38 digits stay numbers, as doubles.
+        packed = pack(rank, text, text.try_cast(EXACT), real)
+        return F.coalesce(packed, F.when(rank < 3, pack(F.lit(4), none, none, real)))
+
+    def is_numeric(self, v: Value) -> Column:
+        if v.kind in ("str", "bool"):
+            return F.lit(False)
+        return self.num(v).isNotNull()
 
     def number(self, v: Value) -> Column:
-        if v.kind in ("int", "num"):
-            return v.col.cast("double")
-        if v.kind == "bool":
-            return F.lit(None).cast("double")
-        if v.kind == "str":
-            return v.col.try_cast("double")
-        return F.when(self.is_numeric(v), label(v.col).try_cast("double"))
+        """The value as a double."""
+        return v.col.try_cast("double") if v.kind == "str" else self.num(v)["f"]
 
     def truth(self, v: Value) -> Column:
         """Effective boolean value."""
         if v.kind == "bool":
             return v.col
-        if v.kind in ("int", "num"):
+        if v.kind == "int":
             return v.col != 0
+        if v.kind == "number":
+            return (v.col["f"] != 0) & ~F.isnan(v.col["f"])
         if v.kind == "str":
             return v.col != ""
         dt, text = datatype_of(v.col, self.vocab), label(v.col)
@@ -104,18 +148,50 @@ class Library:
         suffix = f"^^{self.vocab('xsd:string')}"
         cut = '(?<=")' + re.escape(suffix) + r"\z"
         plain = lambda v: F.regexp_replace(self.term(v), cut, "")
-        return F.when(numbers, self.number(a) == self.number(b)).otherwise(plain(a) == plain(b))
+        return F.when(numbers, self.compare(a, b, lambda x, y: x == y)).otherwise(plain(a) == plain(b))
+
+    def compare(self, a: Value, b: Value, op: Callable[[Column, Column], Column]) -> Column:
+        """Two numbers: integers and decimals exactly, others as doubles."""
+        x, y = self.num(a), self.num(b)
+        exact = x["d"].isNotNull() & y["d"].isNotNull()
+        return F.when((x["r"] == 1) & (y["r"] == 1), op(x["i"], y["i"])).when(exact, op(x["d"], y["d"])).otherwise(op(x["f"], y["f"]))
 
     def less(self, a: Value, b: Value, op: Callable[[Column, Column], Column]) -> Column:
         x, y = self.is_numeric(a), self.is_numeric(b)  # a number and anything else don't compare
-        return F.when(x & y, op(self.number(a), self.number(b))).when(~x & ~y, op(self.text(a), self.text(b)))
+        return F.when(x & y, self.compare(a, b, op)).when(~x & ~y, op(self.text(a), self.text(b)))
 
     def arithmetic(self, op: str, a: Value, b: Value) -> Value:
-        x, y = self.number(a), self.number(b)
-        if op == "/":
-            return Value(F.when(y != 0, x / y), "num")
-        col = {"+": x + y, "-": x - y, "*": x * y}[op]
-        return Value(col.cast("long"), "int") if a.kind == b.kind == "int" else Value(col, "num")
+        """The type is the higher of both; integers divide to a decimal; a division by zero is an error but for floats."""
+        return Value(let(lambda x, y: self._calculate(op, x, y), self.num(a), self.num(b)), "number")
+
+    def _calculate(self, op: str, x: Column, y: Column) -> Column:
+        rank = F.greatest(x["r"], y["r"], *([F.lit(2)] if op == "/" else []))
+        rank = F.when(x.isNotNull() & y.isNotNull(), rank)
+        f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
+        exact = f(x["d"], y["d"])
+        if op in "*/":
+            short = lambda c: F.when(c.try_cast(NARROW).cast(EXACT) == c, c.try_cast(NARROW))
+            exact = F.coalesce(f(short(x["d"]), short(y["d"])).try_cast(EXACT), exact.try_cast(EXACT))
+        real = {"+": x["f"] + y["f"], "-": x["f"] - y["f"], "*": x["f"] * y["f"], "/": F.coalesce(F.try_divide(x["f"], y["f"]), F.when(x["f"] > 0, float("inf")).when(x["f"] < 0, float("-inf")).otherwise(float("nan")))}[op]
+        return pack(rank, f(x["i"], y["i"]) if op != "/" else F.lit(None), exact, real)
+
+    def negative(self, v: Value) -> Value:
+        return self.arithmetic("-", Value(F.lit(0).cast("long"), "int"), v)
+
+    def total(self, v: Value, distinct: bool, mean: bool) -> Column:
+        """SUM or AVG of the numbers among the values, of the highest type among them; 0 if there is none."""
+        n = self.num(v)
+        add = F.sum_distinct if distinct else F.sum
+        rank = F.max(n["r"])
+        count = (F.countDistinct if distinct else F.count)(n["f"])
+        whole, exact, real = (F.sum_distinct(n["i"]), F.sum_distinct(n["d"]), F.sum_distinct(n["f"])) if distinct else (F.try_sum(n["i"]), F.try_sum(n["d"]), add(n["f"]))
+        if mean:
+            short = lambda c: F.when(c.try_cast(NARROW).cast(EXACT) == c, c.try_cast(NARROW))
+            sums = exact.try_cast(EXACT)
+            exact = F.coalesce(F.try_divide(short(sums), count.cast(NARROW)).try_cast(EXACT), F.try_divide(sums, count.cast(WHOLE)).try_cast(EXACT))
+            real, rank = F.try_divide(real, count), F.greatest(rank, F.lit(2))
+        none = F.lit(None)
+        return F.when(count == 0, pack(F.lit(1), F.lit(0), none, none)).otherwise(pack(rank, whole, exact, real))
 
     # -- functions -------------------------------------------------------------------------------
 
@@ -133,10 +209,18 @@ class Library:
 
     def cast(self, dt: str, v: Value) -> Value:
         text = F.trim(self.text(v))
+        none, n = F.lit(None), self.num(v)
+        truth = F.when(datatype_of(self.term(v), self.vocab) == self.vocab("xsd:boolean"), F.when(text.isin("true", "1"), 1).when(text.isin("false", "0"), 0))
+        real = F.coalesce(n["f"], truth.cast("double"), F.when(text == "INF", float("inf")).when(text == "-INF", float("-inf")).otherwise(text.try_cast("double")))
+        decimal = F.coalesce(n["d"], truth.try_cast(EXACT), F.when(text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"), text.try_cast(EXACT)), n["f"].try_cast(EXACT))
         if dt in ("xsd:integer", "xsd:int", "xsd:long"):
-            return Value(F.coalesce(text.try_cast("long"), text.try_cast("double").cast("long")), "int")
-        if dt in ("xsd:double", "xsd:float", "xsd:decimal"):
-            return Value(text.try_cast("double"), "num")
+            cut = F.when(decimal < 0, F.ceil(decimal)).otherwise(F.floor(decimal)).try_cast(WHOLE)
+            whole = F.coalesce(n["i"], F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast(WHOLE)), F.when(n.isNotNull() | truth.isNotNull(), cut))
+            return Value(pack(F.when(whole.isNotNull(), 1), whole, none, none), "number")
+        if dt == "xsd:decimal":
+            return Value(pack(F.when(decimal.isNotNull(), 2), none, decimal, none), "number")
+        if dt in ("xsd:double", "xsd:float"):
+            return Value(pack(F.when(real.isNotNull(), 4 if dt == "xsd:double" else 3), none, none, real), "number")
         if dt == "xsd:boolean":
             return Value(F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False), "bool")
         if dt == "xsd:string":
@@ -246,23 +330,25 @@ class Library:
     def fn_replace(self, v, pattern, new, flags=None):
         return Value(F.regexp_replace(self.text(v), self._pattern(pattern, flags), self.text(new)), "str")
 
-    def _round(self, v, f):
-        return Value(f(self.number(v)).cast("long"), "int") if v.kind == "int" else Value(f(self.number(v)).cast("double"), "num")
+    def _round(self, v, exact: Callable[[Column], Column], real: Callable[[Column], Column]):
+        each = lambda n: pack(n["r"], exact(n["i"]), exact(n["d"]).try_cast(EXACT), real(n["f"]).cast("double"))
+        return Value(let(each, self.num(v)), "number")
 
     def fn_abs(self, v):
-        return self._round(v, F.abs)
+        return self._round(v, F.abs, F.abs)
 
     def fn_round(self, v):
-        return self._round(v, lambda x: F.floor(x + 0.5))
+        return self._round(v, lambda x: F.floor(x + F.lit(0.5).cast("decimal(2,1)")), lambda x: F.floor(x + 0.5))
 
     def fn_ceil(self, v):
-        return self._round(v, F.ceil)
+        return self._round(v, F.ceil, F.ceil)
 
     def fn_floor(self, v):
-        return self._round(v, F.floor)
+        return self._round(v, F.floor, F.floor)
 
     def fn_rand(self):
-        return Value(F.rand(), "num")
+        none = F.lit(None)
+        return Value(pack(F.lit(4), none, none, F.rand()), "number")
 
     def fn_now(self):
         return Value(self.typed(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"), "xsd:dateTime"))
@@ -288,7 +374,8 @@ class Library:
         return Value(self._part(v, 5).cast("long"), "int")
 
     def fn_seconds(self, v):
-        return Value(self._part(v, 6).cast("double"), "num")
+        none, part = F.lit(None), self._part(v, 6)
+        return Value(pack(F.when(part.isNotNull(), 2), none, part, none), "number")
 
     def fn_tz(self, v):
         return Value(F.coalesce(self._part(v, 7), F.lit("")), "str")

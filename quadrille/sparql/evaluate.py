@@ -217,8 +217,7 @@ class Evaluator:
         if kind == "var":
             return Value(look(e[1]))
         if kind == "const":
-            whole = re.fullmatch(r'"([+-]?\d{1,18})"\^\^' + re.escape(self.vocab("xsd:integer")), e[1])
-            return Value(F.lit(int(whole[1])).cast("long"), "int") if whole else Value(F.lit(e[1]))
+            return Value(F.lit(e[1]))
         if kind == "int":
             return Value(F.lit(e[1]).cast("long"), "int")
         if kind == "and":
@@ -258,8 +257,7 @@ class Evaluator:
             if name == "COUNT":
                 col, kind = (F.countDistinct(term) if distinct else F.count(term)).cast("long"), "int"
             elif name in ("SUM", "AVG"):
-                f = {"SUM": F.sum_distinct if distinct else F.sum, "AVG": F.avg}[name]
-                col, kind = F.coalesce(f(num), F.lit(0.0)), "num"
+                col, kind = self.lib.total(v, distinct, name == "AVG"), "number"
             elif name in ("MIN", "MAX"):
                 f = F.min if name == "MIN" else F.max
                 order = F.struct(self.lib.is_numeric(v), num, term)

@@ -412,10 +412,10 @@ def test_sparql(spark):
     assert run("SELECT ?x WHERE { ?x ex:p/ex:p ex:c }") == [("ex:a",)]
     assert run("SELECT ?y WHERE { ex:a ex:p+ ?y }") == [("ex:a",), ("ex:b",), ("ex:c",)] and run("SELECT ?y WHERE { ex:a ex:zz? ?y }") == [("ex:a",)]
     assert run("SELECT ?x ?n WHERE { ?x ex:p ?y OPTIONAL { ?x ex:n ?n FILTER(?n > 3) } }") == sorted([("ex:a", f'"5"^^{XSD}integer'), ("ex:b", None), ("ex:c", None)], key=str)
-    assert run("SELECT (SUM(?n) AS ?t) (GROUP_CONCAT(?x; separator=',') AS ?g) WHERE { ?x ex:n ?n }") == [(f'"5.0"^^{XSD}double', '"ex:a,ex:b"')]
+    assert run("SELECT (SUM(?n) AS ?t) (GROUP_CONCAT(?x; separator=',') AS ?g) WHERE { ?x ex:n ?n }") == [(f'"5"^^{XSD}integer', '"ex:a,ex:b"')]
     assert run("SELECT DISTINCT ?x WHERE { { ?x ex:p ?y } UNION { ?y ex:p ?x } MINUS { ?x ex:n ?z } } ORDER BY DESC(?x)") == [("ex:c",)]
     assert run("SELECT ?v ?x WHERE { VALUES (?v ?x) { (1 ex:a) (UNDEF ex:b) } ?x ex:p ?y FILTER(?x IN (ex:a, ex:b)) }") == sorted([(f'"1"^^{XSD}integer', "ex:a"), (None, "ex:b")], key=str)
-    assert run("SELECT ?m WHERE { ?x ex:n ?n BIND(IF(isNumeric(?n), ?n * 2, COALESCE(?u, lang(?n))) AS ?m) FILTER(bound(?m)) }") == sorted([('"en"',), (f'"10.0"^^{XSD}double',)], key=str)
+    assert run("SELECT ?m WHERE { ?x ex:n ?n BIND(IF(isNumeric(?n), ?n * 2, COALESCE(?u, lang(?n))) AS ?m) FILTER(bound(?m)) }") == sorted([('"en"',), (f'"10"^^{XSD}integer',)], key=str)
     assert run("SELECT ?g WHERE { GRAPH ?g { ?x ex:p ?y } }") == [("ex:g",)] and run("SELECT ?n WHERE { { SELECT ?x (COUNT(*) AS ?n) WHERE { ?x ?p ?y } GROUP BY ?x } FILTER(?n > 1) }") == [(f'"2"^^{XSD}integer',)] * 2
     assert sparql.ask(df, "ASK { ?x ex:p ?x }", prefixes=PX) is False and sparql.describe(df, "DESCRIBE ex:c", prefixes=PX).count() == 2
     assert spo(sparql.construct(df, "CONSTRUCT { ?y ex:inv ?x . ?n ex:bad ?x } WHERE { ?x ex:p ?y OPTIONAL { ?x ex:n ?n } }", prefixes=PX))[0] == ("ex:a", "ex:inv", "ex:c")
@@ -429,10 +429,10 @@ def test_function_library(spark):
     one = lambda e: sparql.select(df, f"SELECT ({e} AS ?r) WHERE {{ ex:a ex:p ?d }}", prefixes=PX).first()["r"]
     num = lambda v, t="integer": f'"{v}"^^{XSD}{t}'
     cases = {
-        "YEAR(?d)": num(2024), "MONTH(?d)": num(3), "DAY(?d)": num(5), "HOURS(?d)": num(6), "MINUTES(?d)": num(7), "SECONDS(?d)": num("8.0", "double"), "TZ(?d)": '"-05:30"', "TIMEZONE(?d)": num("-PT5H30M", "dayTimeDuration"),
+        "YEAR(?d)": num(2024), "MONTH(?d)": num(3), "DAY(?d)": num(5), "HOURS(?d)": num(6), "MINUTES(?d)": num(7), "SECONDS(?d)": num("8.0", "decimal"), "TZ(?d)": '"-05:30"', "TIMEZONE(?d)": num("-PT5H30M", "dayTimeDuration"),
         "ENCODE_FOR_URI('a b~*é')": '"a%20b~%2A%C3%A9"', "STRBEFORE('abc','b')": '"a"', "STRAFTER('abc','b')": '"c"', "SUBSTR('hello',2,3)": '"ell"', "REPLACE('aBc','b','x','i')": '"axc"', "REGEX('abc','^A','i')": num("true", "boolean"),
         "STRDT('1',xsd:int)": num(1, "int"), "STRLANG('x','en')": '"x"@en', "DATATYPE('x')": XSD + "string", "IRI('ex:z')": "ex:z", "ROUND(xsd:double('2.5'))": num("3.0", "double"), "CEIL(xsd:double('2.1'))": num("3.0", "double"),
-        "xsd:boolean('1')": num("true", "boolean"), "SHA512('a')": None, "compatibleDatatype(xsd:decimal, xsd:int)": num("true", "boolean"), "compatibleDatatype(xsd:int, xsd:decimal)": num("false", "boolean"), "7 / 2": num("3.5", "double"),
+        "xsd:boolean('1')": num("true", "boolean"), "SHA512('a')": None, "compatibleDatatype(xsd:decimal, xsd:int)": num("true", "boolean"), "compatibleDatatype(xsd:int, xsd:decimal)": num("false", "boolean"), "7 / 2": num("3.5", "decimal"),
     }
     for e, want in cases.items():
         got = one(e)
@@ -466,3 +466,29 @@ def test_entry_without_llm():
 
 def test_scalars_in_pandas():
     assert pd.DataFrame([quad("ex:s", "ex:p", '"a"b"@en')], columns=QUAD)["o"][0] == 'a"b'
+
+
+def test_number_types(spark):
+    """Integer, decimal, float and double by the SPARQL rules; long integers keep their digits."""
+    lit = lambda x, t: f'"{x}"^^{XSD}{t}'
+    df = quads(spark, [
+        ("ex:a", "ex:i", lit(7, "integer")), ("ex:a", "ex:j", lit(2, "int")), ("ex:a", "ex:d", lit("2.50", "decimal")), ("ex:a", "ex:f", lit("0.5", "float")), ("ex:a", "ex:g", lit("1e2", "double")),
+        ("ex:a", "ex:big", lit(2**53 + 1, "integer")), ("ex:b", "ex:big", lit(2**53, "integer")), ("ex:c", "ex:d", lit("0.1", "decimal")), ("ex:c", "ex:d", lit("0.2", "decimal")), ("ex:c", "ex:d", lit("x", "decimal")),
+    ])
+
+    def one(expr, where="?s ex:i ?i ; ex:j ?j ; ex:d ?d ; ex:f ?f ; ex:g ?g"):
+        return sparql.select(df, f"PREFIX ex: <ex:> PREFIX xsd: <{XSD}> SELECT ({expr} AS ?v) WHERE {{ {where} }}").first()["v"]
+
+    want = {
+        "?i * 2": lit(14, "integer"), "?i / ?j": lit("3.5", "decimal"), "?i + ?d": lit("9.5", "decimal"), "?d * ?d": lit("6.25", "decimal"), "?i - ?f": lit("6.5", "float"), "?g + ?d": lit("102.5", "double"),
+        "?i / 0": None, "?g / 0": lit("INF", "double"), "-?d": lit("-2.5", "decimal"), "?i + 'x'": None, "ROUND(?d)": lit("3.0", "decimal"), "CEIL(?i / ?j)": lit("4.0", "decimal"), "FLOOR(?f)": lit("0.0", "float"),
+        "ABS(-?i)": lit(7, "integer"), "xsd:integer(?d)": lit(2, "integer"), "xsd:decimal(?i)": lit("7.0", "decimal"), "xsd:float(?d)": lit("2.5", "float"), "xsd:integer('08')": lit(8, "integer"),
+        "1 / 3": lit("0.3333333333333333", "decimal"), "?i * 2 + 1 - 3 * ?j": lit(9, "integer"), "xsd:double('INF')": lit("INF", "double"), "?i = 7.0": lit("true", "boolean"), "?d < ?i": lit("true", "boolean"),
+    }
+    for expr, v in want.items():
+        assert one(expr) == v, expr
+    assert one("COUNT(*)", "?x ex:big ?n FILTER(?n = 9007199254740993)") == lit(1, "integer")
+    assert one("SUM(?n)", "?x ex:big ?n") == lit(2**54 + 1, "integer")
+    assert one("SUM(?n)", "ex:c ex:d ?n") == lit("0.3", "decimal") and one("AVG(?n)", "ex:c ex:d ?n") == lit("0.15", "decimal")
+    assert one("MAX(?n)", "?x ex:d ?n") == lit("2.50", "decimal") and one("SUM(?n)", "?x ex:none ?n") == lit(0, "integer")
+    assert one("SUM(DISTINCT ?n)", "?x ?p ?n FILTER(isNumeric(?n) && ?n < 3)") == lit("3.3", "float")

@@ -235,13 +235,14 @@ def build_lexicon(texts: DataFrame, column: str = "text", directory: str = TOKEN
     ranks = parse_ranks(data)
     size = F.floor(F.log2("n") * 16).cast("int")
     counts = Scratch(spark, "words").table(word_counts(texts, column).where("n > 1").withColumn("size", size))
-    least, room = None, limit
+    # Of the step at which the lexicon is full a share by hash: what is in it is only a matter of speed.
+    taken, room = F.lit(False), limit
     for step in counts.groupBy("size").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("size")).collect():
-        room -= step["words"]
-        if room < 0:
+        share = int(min(1.0, 0.97 * room / step["words"]) * 1000) if step["words"] > room else 1000
+        taken, room = taken | ((F.col("size") == step["size"]) & (F.pmod(F.xxhash64("word"), F.lit(1000)) < share)), room - step["words"]
+        if room <= 0:
             break
-        least = step["size"]
-    top = counts.where(F.col("size") >= least).select("word").collect() if least is not None else []
+    top = counts.where(taken).select("word").collect()
     lexicon = Lexicon.build([(w, merge_word(w, ranks)) for w in (r["word"].encode() for r in top)])
     return spark.sparkContext.broadcast(data), publish(spark, lexicon.to_bytes(), "lexicon")
 

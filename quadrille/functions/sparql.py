@@ -204,6 +204,9 @@ class Library:
                     short = f"{prefix}:{name[len(ns):]}"
             if short.startswith("xsd:"):
                 return self.cast(short, args[0])
+            own = re.split(r"[#/:]", name)[-1].lower()
+            if own in ("mint", "compatibledatatype", "starselectgraph"):
+                return getattr(self, "fn_" + own)(*args)
             raise ValueError(f"unknown function {name!r}")
         return f(*args)
 

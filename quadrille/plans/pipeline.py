@@ -47,48 +47,84 @@ def tokenize(text: str) -> list[str]:
     return out
 
 
-def options(spec: str, args: Sequence[str]) -> tuple[dict[str, object], list[str]]:
-    """Read arguments by a specification like ``b!|w|+``: letters are options, ``!`` takes one argument,
-    ``?`` takes one if there is one, ``*`` and ``+`` take the following ones; the last part, if it is only
-    ``*``, ``+``, ``!`` or ``?``, says how many plain arguments there may be."""
-    parts = spec.split("|") if spec else []
-    plain = parts.pop() if parts and parts[-1] in ("*", "+", "!", "?") else ""
-    kinds = {p.rstrip("!?*+"): p[len(p.rstrip("!?*+")) :] for p in parts}
-    found: dict[str, object] = {}
-    rest: list[str] = []
-    i = 0
-    while i < len(args):
-        a = args[i]
-        if a.startswith("-") and a[1:] in kinds:
-            name, kind = a[1:], kinds[a[1:]]
-            i += 1
-            if kind.startswith("!"):
-                if i >= len(args):
-                    raise ValueError(f"-{name} needs an argument")
-                found[name] = args[i]
-                i += 1
-            elif kind.startswith("?"):
-                found[name] = None
-                if i < len(args) and not args[i].startswith("-"):
-                    found[name] = args[i]
-                    i += 1
-            elif kind:
-                many = []
-                while i < len(args) and not args[i].startswith("-"):
-                    many.append(args[i])
-                    i += 1
-                if kind.startswith("+") and not many:
-                    raise ValueError(f"-{name} needs arguments")
-                found[name] = many
+@dataclass(frozen=True)
+class Flag:
+    """A flag of an operator: ``-name``, with one value after it if ``value`` says what that is."""
+
+    name: str
+    help: str
+    value: str = ""
+
+
+@dataclass(frozen=True)
+class Arguments:
+    """What an operator takes: flags in any place, and between ``least`` and ``most`` plain arguments called ``plain``."""
+
+    flags: tuple[Flag, ...] = ()
+    plain: str = ""
+    least: int = 0
+    most: int = 0
+
+    def read(self, args: Sequence[str]) -> tuple[dict[str, str], list[str]]:
+        """Flags by name - those without a value have an empty one - and the plain arguments."""
+        known = {f"-{f.name}": f for f in self.flags}
+        found, rest, waiting = {}, [], list(args)
+        while waiting:
+            word = waiting.pop(0)
+            flag = known.get(word)
+            if flag is None:
+                rest.append(word)
+            elif not flag.value:
+                found[flag.name] = ""
+            elif waiting:
+                found[flag.name] = waiting.pop(0)
             else:
-                found[name] = True
-        else:
-            rest.append(a)
-            i += 1
-    limits = {"": (0, 0), "!": (1, 1), "?": (0, 1), "*": (0, 1 << 30), "+": (1, 1 << 30)}[plain]
-    if not limits[0] <= len(rest) <= limits[1]:
-        raise ValueError(f"unexpected number of arguments: {rest}")
-    return found, rest
+                raise ValueError(f"{word} needs {flag.value}")
+        if not self.least <= len(rest) <= self.most:
+            raise ValueError(f"unexpected number of arguments: {rest}" if rest else f"needs {self.plain}")
+        return found, rest
+
+    def usage(self) -> str:
+        lines = [f"  -{f.name}{' ' + f.value if f.value else ''}: {f.help}" for f in self.flags]
+        return "\n".join([*lines, *([f"  {self.plain}"] if self.plain else [])])
+
+
+MANY = 1 << 30
+#: Statements of a file that describes rules.
+RULE_STATEMENTS = 100_000
+_BASE, _BNODES = Flag("b", "base IRI of what is read", "IRI"), Flag("w", "give blank nodes names of their own per file")
+_TYPES, _TARGET, _DEFAULT = Flag("t", "leave out types that are blank nodes"), Flag("c", "emit the closed schema into this graph", "IRI"), Flag("C", "emit the closed schema into the default graph")
+#: What each operator takes, by its first name.
+ARGUMENTS = {
+    "read": Arguments((_BASE, _BNODES), "files", 1, MANY),
+    "write": Arguments((Flag("c", "statements a file gets in turn", "number"),), "files", 1, MANY),
+    "download": Arguments((Flag("q", "the query", "query"), Flag("f", "a file with the query", "file"), _BNODES), "endpoint", 1, 1),
+    "upload": Arguments((Flag("s", "statements a request", "number"),), "endpoint", 1, 1),
+    "transform": Arguments((), "rules", 1, 1),
+    "mapreduce": Arguments(
+        (
+            Flag("e", "only groups with such a statement", "rules"), Flag("a", "only groups of such statements", "rules"), Flag("b", "statements that pass by", "rules"), Flag("r", "reducer script", "script"),
+            Flag("u", "each result once"),
+        ), "mappers", 1, MANY,
+    ),
+    "unique": Arguments((Flag("m", "merge the graphs of equal triples"),)),
+    "smush": Arguments((), "namespaces, best first", 0, MANY),
+    "tbox": Arguments(),
+    "prefix": Arguments((Flag("f", "file of namespaces and prefixes", "file"),)),
+    "rdfs": Arguments((Flag("e", "rules to leave out", "names"), Flag("d", "add the RDFS part of OWL axioms"), _TYPES, _DEFAULT, _TARGET, _BASE, _BNODES), "schema files", 0, MANY),
+    "rules": Arguments(
+        (
+            Flag("r", "rulesets", "names or files"), Flag("B", "bindings of rule variables", "pairs"), Flag("p", "partitioning: none, entity or graph", "mode"), Flag("g", "graphs: none, global, separate or star", "mode"),
+            Flag("G", "the global graph", "IRI"), _TYPES, Flag("u", "each result once (always so)"), _DEFAULT, _TARGET, _BASE, _BNODES,
+        ), "schema files", 0, MANY,
+    ),
+    "stats": Arguments(
+        (
+            Flag("n", "namespace of the names minted", "IRI"), Flag("p", "property that links graphs to sources", "IRI"), Flag("c", "graph with these links", "IRI"), Flag("t", "least entities or triples of a partition", "number"),
+            Flag("o", "count classes and properties of every dataset"),
+        ),
+    ),
+}
 
 
 @dataclass
@@ -158,13 +194,13 @@ class Pipeline:
     def read(self, args):
         from quadrille.sources import read_quads
 
-        o, files = options("b!|w|+", args)
+        o, files = ARGUMENTS["read"].read(args)
         return lambda df: bag_union(df, read_quads(self.spark, *files, base=str(o.get("b", "")), rewrite_bnodes="w" in o))
 
     def write(self, args):
         from quadrille.sources import write_quads
 
-        o, files = options("c!|+", args)
+        o, files = ARGUMENTS["write"].read(args)
         return self.tee(lambda df: write_quads(df, *files, chunk=int(o.get("c", 1))))
 
     def tee(self, sink: Callable[[DataFrame], object]) -> Step:
@@ -179,18 +215,18 @@ class Pipeline:
     def download(self, args):
         from quadrille.sources.endpoint import download
 
-        o, (url,) = options("q!|f!|w|!", args)
+        o, (url,) = ARGUMENTS["download"].read(args)
         query = str(o["q"]) if "q" in o else open(str(o["f"])).read()
         return lambda df: bag_union(df, download(self.spark, url, query))
 
     def upload(self, args):
         from quadrille.sources.endpoint import upload
 
-        o, (url,) = options("s!|!", args)
+        o, (url,) = ARGUMENTS["upload"].read(args)
         return self.tee(lambda df: upload(df, url, int(o.get("s", 1024))))
 
     def transform(self, args):
-        _, (spec,) = options("!", args)
+        _, (spec,) = ARGUMENTS["transform"].read(args)
         return lambda df: transform.transform(df, spec, self.prefixes, self.vocab)
 
     def script(self, args):
@@ -202,7 +238,7 @@ class Pipeline:
         return lambda df: script.script(df, source, tuple(rest), pooled, self.vocab, self.prefixes)
 
     def mapreduce(self, args):
-        o, mappers = options("b!|r!|e!|a!|u|+", args)
+        o, mappers = ARGUMENTS["mapreduce"].read(args)
         cond = lambda k: transform.predicate(str(o[k]), self.prefixes, self.vocab) if k in o else None
         reducer = None
         if "r" in o:
@@ -212,20 +248,20 @@ class Pipeline:
         return lambda df: mapreduce.map_reduce(df, mappers[0] if len(mappers) == 1 else mappers, reducer, cond("e"), cond("a"), cond("b"), "u" in o)
 
     def unique(self, args):
-        o, _ = options("m", args)
+        o, _ = ARGUMENTS["unique"].read(args)
         return unique.unique_merge if "m" in o else unique.unique
 
     def smush(self, args):
-        _, spaces = options("*", args)
+        _, spaces = ARGUMENTS["smush"].read(args)
         known = [transform.expand(x if ":" in x else x + ":", self.prefixes, FULL) if not x.startswith("<") and "/" not in x else x.strip("<>") for x in spaces]
         return lambda df: semantic.smush(df, known, self.vocab)
 
     def tbox(self, args):
-        options("", args)
+        ARGUMENTS["tbox"].read(args)
         return lambda df: semantic.tbox(df, self.vocab)
 
     def prefix(self, args):
-        o, _ = options("f!", args)
+        o, _ = ARGUMENTS["prefix"].read(args)
         table = semantic.read_prefix_file(open(str(o["f"])).read()) if "f" in o else None
 
         def step(df: DataFrame) -> DataFrame:
@@ -237,7 +273,7 @@ class Pipeline:
     def rdfs(self, args):
         from quadrille.sources import read_quads
 
-        o, files = options("e!|d|t|C|c!|b!|w|*", args)
+        o, files = ARGUMENTS["rdfs"].read(args)
         emit = "" if "C" in o else str(o["c"]) if "c" in o else None
         exclude = [x for x in str(o.get("e", "")).split(",") if x]
 
@@ -249,11 +285,12 @@ class Pipeline:
 
     def rules(self, args):
         from quadrille.rules.engine import apply_rules
-        from quadrille.rules.model import parse_dlog, parse_rules
+        from quadrille.rules.model import parse_dlog, parse_rules, rules_from_statements
         from quadrille.rules.rulesets import ruleset
         from quadrille.sources import read_quads
+        from quadrille.sources.documents import PARSERS, format_of
 
-        o, files = options("r!|B!|p!|g!|G!|t|u|C|c!|b!|w|*", args)
+        o, files = ARGUMENTS["rules"].read(args)
         if "r" not in o:
             raise ValueError("@rules needs -r with rulesets")
         found = []
@@ -262,6 +299,11 @@ class Pipeline:
                 found += parse_dlog(open(name).read(), self.vocab)
             elif name.endswith((".rules", ".txt")):
                 found += parse_rules(open(name).read(), self.vocab, self.prefixes)
+            elif format_of(name)[0] in PARSERS:
+                rows = read_quads(self.spark, name).select("s", "p", "o").limit(RULE_STATEMENTS + 1).collect()
+                if len(rows) > RULE_STATEMENTS:
+                    raise ValueError(f"{name} has too many statements for a ruleset")
+                found += rules_from_statements([tuple(r) for r in rows], self.vocab)
             else:
                 found += ruleset(name, self.vocab)
         bindings = {}
@@ -277,7 +319,7 @@ class Pipeline:
         return step
 
     def stats(self, args):
-        o, _ = options("n!|p!|c!|t!|o", args)
+        o, _ = ARGUMENTS["stats"].read(args)
         name = lambda k: None if k not in o else str(o[k]).strip("<>") if "/" in str(o[k]) else transform.expand(str(o[k]), self.prefixes, self.vocab)
         return lambda df: stats.stats_quads(df, str(o.get("n", "stats:")), int(o.get("t", 0)), name("p"), name("c"), self.vocab)
 

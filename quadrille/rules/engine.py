@@ -44,6 +44,18 @@ def _bind(data: DataFrame, pattern: Pattern, graph: str | None) -> DataFrame:
     return out if graph else out.distinct() if len(cols) < 3 else out
 
 
+def _evaluate(rule: Rule, data: DataFrame, mode: str) -> DataFrame:
+    """Solutions of a SPARQL body: against the merge of all graphs, or in each graph apart (mode separate)."""
+    from quadrille.sparql.evaluate import Evaluator
+
+    if mode == "star":
+        raise ValueError(f"rule {rule.id}: graph mode star needs a body of triple patterns")
+    apart = mode == "separate"
+    sol = Evaluator.of(data.select("s", "p", "o", "g"), every_graph=apart).group(list(rule.body), "?graph" if apart else None)
+    names = [n for n in sol.names if not n.startswith("?_")]
+    return sol.df.select(F.lit("").alias("?scope"), *[F.col(f"`{n}`") for n in names]).distinct()
+
+
 class Shapes:
     """Which constant predicates and classes occur in some statements; unknown if there are too many."""
 
@@ -86,6 +98,9 @@ def solutions(rule: Rule, data: DataFrame, delta: DataFrame | None, mode: str, s
     Bodies with a pattern nothing can match (by ``shapes`` of all and ``fresh`` of new statements) give none.
     """
     n = len(rule.where)
+    if rule.body:
+        yield _evaluate(rule, data, mode)
+        return
     if shapes is not None and not all(shapes.may_match(p) for p in rule.where):
         return
     if n == 0:
@@ -110,8 +125,9 @@ def solutions(rule: Rule, data: DataFrame, delta: DataFrame | None, mode: str, s
 def _heads(rule: Rule, patterns: Sequence[Pattern], found: DataFrame, mode: str, target: str) -> DataFrame:
     """Statements of the head patterns for the solutions; ill-typed ones are dropped."""
     value = lambda t: F.col(f"`{t}`") if t.startswith("?") else F.lit(t)
-    n = len(rule.where)
+    n = len(rule.where) or len(rule.body)
     graph: Column = F.lit(target)
+    found = found.dropna(subset=[f"`{t}`" for t in sorted({t for p in patterns for t in p if t.startswith("?") and t in found.columns})]) if rule.body else found
     if mode == "separate" and n:
         graph = F.col("`?graph`")
     if mode == "star" and n:
@@ -139,6 +155,11 @@ class RuleEngine:
         self.rules = merge_same_where(rules) if merge else rules
         self.mode, self.target = mode, graph or ""
 
+    def predicates(self) -> set[str] | None:
+        """The predicates in the rules; None if a rule has a variable for one or a body that may look at any statement."""
+        patterns = [p for r in self.rules for p in (*r.where, *r.insert, *r.delete)]
+        return None if any(r.body for r in self.rules) or any(p[1].startswith("?") for p in patterns) else {p[1] for p in patterns}
+
     def phases(self) -> list[list[Rule]]:
         out: list[list[Rule]] = []
         for r in sorted(self.rules, key=lambda r: (r.phase, r.fixpoint, r.id)):
@@ -198,13 +219,20 @@ class RuleEngine:
     def run(self, encoded: DataFrame) -> DataFrame:
         """Closure of (s, p, o, g[, scope]) statements, each once."""
         scratch = Scratch(encoded.sparkSession, "rules")
+        if "scope" in encoded.columns and any(r.body for r in self.rules):
+            raise ValueError("rules with SPARQL bodies can't be partitioned")
         if "scope" not in encoded.columns:
             encoded = encoded.withColumn("scope", F.lit(""))
-        known = scratch.table(encoded.select(*COLS).distinct())
+        encoded = encoded.select(*COLS).distinct()
+        rest, reach = None, self.predicates()
+        if reach is not None:  # statements no rule can match, derive or delete pass by
+            touched = F.coalesce(F.col("p").isin(sorted(reach)), F.lit(False))
+            rest, encoded = encoded.where(~touched), encoded.where(touched)
+        known = scratch.table(encoded)
         for rules in self.phases():
-            known = self._naive(rules, known, scratch) if any(r.delete for r in rules) else self._semi_naive(rules, known, scratch)
+            known = self._naive(rules, known, scratch) if any(r.delete or r.body for r in rules) else self._semi_naive(rules, known, scratch)
             scratch.keep_only(known)
-        return known
+        return known if rest is None else known.unionByName(rest)
 
 
 def apply_rules(
@@ -235,7 +263,9 @@ def apply_rules(
     helper = F.col("p").startswith(HELPER)
     for c in ("s", "o") if names else ():
         helper = reduce(Column.__or__, [F.col(c).startswith(iri + "/") for iri in sorted({m[1] for r in rules for m in r.mints})], helper | F.col(c).isin(names))
-    out = out.where(~helper).select("s", "p", "o", "g").distinct()
+    out = out.where(~helper).select("s", "p", "o", "g")
+    if partition != "none":  # a statement may have been derived in several parts
+        out = out.distinct()
     if tbox is not None:
         schema = RuleEngine(rules, mode, graph).run(encode(as_quads(tbox))).select("s", "p", "o", "g").distinct()
         mine = encode(data).distinct()

@@ -450,16 +450,12 @@ def parse_lines_whole(data: bytes, base: str = "") -> list[Row]:
 
     ``read_quads`` doesn't come here: it reads packed line files by ``read_packed_lines``.
     """
-    from quadrille.operators.rejects import RECORD, kind_of, plain, strip
+    import pyarrow as pa
 
-    out = []
-    for line in re.split("\r?\n", data.decode("utf-8", "replace")):
-        if m := RECORD.fullmatch(line):
-            s, p, node, quoted, lang, dt, g = m.groups()
-            term = lambda t: strip(kind_of(t), t)
-            o = term(node) if node else plain(quoted[1:-1], True)
-            out.append(row(term(s), term(p), o, term(g) if g else None, not node, lang[1:] if lang else None, plain(dt[1:-1], False) if dt else None))
-    return out
+    from quadrille.operators.rejects import quads_of
+
+    lines = re.split("\r?\n", data.decode("utf-8", "replace"))
+    return [tuple(r[c] for c in QUAD) for r in quads_of(pa.array(lines, pa.string()))]
 
 
 PARSERS: dict[str, Callable] = {

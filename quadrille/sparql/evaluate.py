@@ -57,16 +57,24 @@ def join(a: Solutions, b: Solutions, how: str = "inner", where=None) -> Solution
 class Evaluator:
     def __init__(self, data: DataFrame, vocab: Vocabulary = FULL):
         self.quads, self.vocab, self.lib = encode(as_quads(data)), vocab, Library(vocab)
-        self.spark = data.sparkSession
+        self.spark, self.every_graph = data.sparkSession, False
         self.scratch = Scratch(self.spark, "sparql")
 
+    @staticmethod
+    def of(encoded: DataFrame, vocab: Vocabulary = FULL, every_graph: bool = False) -> "Evaluator":
+        """For encoded statements (s, p, o, g); with ``every_graph`` GRAPH ?g also binds the default graph, as ''."""
+        out = Evaluator.__new__(Evaluator)
+        out.quads, out.vocab, out.lib, out.spark, out.every_graph = encoded, vocab, Library(vocab), encoded.sparkSession, every_graph
+        out.scratch = Scratch(out.spark, "sparql")
+        return out
+
     # -- patterns --------------------------------------------------------------------------------
 
     def source(self, graph: str | None) -> DataFrame:
         """Triples of the graph; without GRAPH those of all graphs, each once."""
         if graph is None:
             return self.quads.select("s", "p", "o").distinct()
-        named = self.quads.where("g <> ''")
+        named = self.quads if self.every_graph else self.quads.where("g <> ''")
         return named if graph.startswith("?") else named.where(F.col("g") == graph)
 
     def pairs(self, path, src: DataFrame, extra: list[str]) -> DataFrame:

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from quadrille import sparql
 from quadrille.model import NAMESPACES, QUAD, SHORT, local_name, namespace, quad, quads
 from quadrille.operators import mapreduce, rdfs, script, semantic, setops, stats, transform, unique
-from quadrille.plans.pipeline import Pipeline, options, tokenize
+from quadrille.plans.pipeline import ARGUMENTS, Pipeline, tokenize
 from quadrille.queries import reference
 from quadrille.rules.engine import RuleEngine, apply_rules
-from quadrille.rules.model import Rule, merge_same_where, parse_dlog, parse_rules
+from quadrille.rules.model import Rule, merge_same_where, parse_dlog, parse_rules, rules_from_statements
 from quadrille.rules.rulesets import ruleset
 from quadrille.rules.terms import encode
 from quadrille.sources import documents, endpoint, read_quads, write_quads
@@ -319,7 +319,11 @@ def test_script_and_sets(spark):
 
 def test_pipeline_language(spark, tmp_path):
     assert tokenize("@t '+p a b' \"x\\\"y\" c\\ d") == ["@t", "+p a b", 'x"y', "c d"]
-    assert options("b!|w|+", ["-b", "x", "f", "-w", "g"]) == ({"b": "x", "w": True}, ["f", "g"])
+    assert ARGUMENTS["read"].read(["-b", "x", "f", "-w", "g"]) == ({"b": "x", "w": ""}, ["f", "g"])
+    assert "-b IRI: base IRI" in ARGUMENTS["read"].usage()
+    for bad in (["-w"], ["f", "-b"]):
+        with pytest.raises(ValueError):
+            ARGUMENTS["read"].read(bad)
     for bad in ("@nope", "{ @t '+p x' ", "@rules x", "x", "{ @nil }q"):
         with pytest.raises(ValueError):
             Pipeline(spark).parse(bad)
@@ -492,3 +496,35 @@ def test_number_types(spark):
     assert one("SUM(?n)", "ex:c ex:d ?n") == lit("0.3", "decimal") and one("AVG(?n)", "ex:c ex:d ?n") == lit("0.15", "decimal")
     assert one("MAX(?n)", "?x ex:d ?n") == lit("2.50", "decimal") and one("SUM(?n)", "?x ex:none ?n") == lit(0, "integer")
     assert one("SUM(DISTINCT ?n)", "?x ?p ?n FILTER(isNumeric(?n) && ?n < 3)") == lit("3.3", "float")
+
+
+RULES_TTL = """
+@prefix v: <http://example.org/rule-words#> . @prefix : <http://example.org/own#> . @prefix ex: <ex:> .
+<ex:> v:prefix "ex" . v: v:prefix "v" .
+:a a v:Rule ; v:head "?x ex:up ?z" ; v:body "?x ex:in ?y . ?y ex:in ?z" .
+:b a v:FixpointRule ; v:phase 1 ; v:insert "?x ex:top true" ; v:where "?x ex:in ?y OPTIONAL { ?y ex:in ?z } FILTER(!bound(?z))" .
+:c a v:Rule ; v:phase 2 ; v:insert "?x ex:kind ?k . ?k ex:of ?x" ; v:where "?x ex:n ?n FILTER(?n > 3) BIND(v:mint(ex:k, ?n) AS ?k)" .
+:d a v:NonFixpointRule ; v:phase 3 ; v:delete "?x ex:n ?n" ; v:insert "?x ex:m ?m" ; v:where "{ ?x ex:n ?n } UNION { ?n ex:n ?x } BIND(?n + 1 AS ?m)" .
+:e a v:Rule ; v:phase 4 ; v:insert "?x ex:far ?y" ; v:where "?x ex:in+ ?y FILTER NOT EXISTS { ?x ex:in ?y }" .
+:f a v:Rule ; v:phase 4 ; v:insert "?x ex:other ?y" ; v:where "?x ex:in ?z . ?y ex:in ?z FILTER(?x != ?y && ?y != $who)" .
+"""
+
+
+def test_rules_from_rdf_files(spark, tmp_path):
+    path = tmp_path / "own.ttl"
+    path.write_text(RULES_TTL)
+    data = [("ex:a", "ex:in", "ex:b"), ("ex:b", "ex:in", "ex:c"), ("ex:c", "ex:in", "ex:d"), ("ex:x", "ex:in", "ex:b"), ("ex:a", "ex:n", f'"5"^^{XSD}integer'), ("ex:b", "ex:n", f'"1"^^{XSD}integer'), ("ex:q", "ex:z", "ex:z")]
+    got = set(spo(Pipeline(spark, prefixes=PX).run(f"@rules -r {path} -B who=ex:zz", quads(spark, data))))
+    assert {("ex:a", "ex:up", "ex:c"), ("ex:b", "ex:up", "ex:d"), ("ex:x", "ex:up", "ex:c"), ("ex:c", "ex:top", "true")} <= got and ("ex:a", "ex:top", "true") not in got
+    kinds = [(s, o) for s, p, o in got if p == "ex:kind"]
+    assert len(kinds) == 1 and kinds[0][0] == "ex:a" and (kinds[0][1], "ex:of", "ex:a") in got
+    assert {(s, o) for s, p, o in got if p == "ex:m"} == {("ex:a", "6"), ("ex:b", "2")} and not any(p == "ex:n" for _, p, _ in got)
+    assert {(s, o) for s, p, o in got if p == "ex:far"} == {("ex:a", "ex:c"), ("ex:a", "ex:d"), ("ex:b", "ex:d"), ("ex:x", "ex:c"), ("ex:x", "ex:d")}
+    assert {(s, o) for s, p, o in got if p == "ex:other"} == {("ex:a", "ex:x"), ("ex:x", "ex:a")} and ("ex:q", "ex:z", "ex:z") in got
+    rules = {r.id.split("#")[1]: r for r in Pipeline(spark).parse(f"@rules -r {path}") and rules_from_statements([(r[0], r[2], r[3]) for r in documents.parse_document(RULES_TTL.encode(), "x.ttl")])}
+    assert not rules["a"].body and rules["b"].body and rules["f"].body and len(rules["f"].rewrite({"who": "ex:zz"}).filters) == 2 and not rules["d"].fixpoint and rules["d"].phase == 3
+    with pytest.raises(ValueError):
+        apply_rules(quads(spark, data), [rules["b"]], partition="graph")
+    for mode, want in (("separate", {("ex:a", "ex:g1")}), ("global", {("ex:a", "ex:G"), ("ex:b", "ex:G")})):
+        out = apply_rules(quads(spark, [("ex:a", "ex:in", "ex:b", "ex:g1"), ("ex:b", "ex:in", "ex:c", "ex:g2")]), [rules_from_statements([("ex:r", "w:head", "?x ex:t true"), ("ex:r", "w:body", "?x ex:in ?y FILTER(regex(str(?y), '[b]$'))"), ("ex:r2", "w:head", "?x ex:t true"), ("ex:r2", "w:body", "?x ex:in ?y . ?w ex:in ?x FILTER(true)"), ("ex:", "w:prefix", "ex")])[i] for i in (0, 1)], mode, "ex:G" if mode == "global" else None)
+        assert {(r["s"], r["g"]) for r in out.where("p = 'ex:t'").collect()} == want

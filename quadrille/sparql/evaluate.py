@@ -33,20 +33,58 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _unbound(df: DataFrame, names: list[str]) -> list[dict[str, bool]]:
+    """Which of ``names`` are unbound together, in any row: at most one row per combination comes to the driver."""
+    found = df.select(*[_q(n).isNull().alias(f"x{i}") for i, n in enumerate(names)]).distinct().collect()
+    return [dict(zip(names, r)) for r in found]
+
+
+def _compatible(left: DataFrame, right: DataFrame, shared: list[str], loose: list[str], how: str, where=None, keyed: bool = False) -> DataFrame:
+    """Join on compatibility where variables may be unbound, without a nested loop over all rows.
+
+    ``right`` has its columns prefixed with r.  Rows of either side are told apart by which ``loose`` variables are unbound;
+    each pair of such parts is an equi-join on the variables bound in both.  ``keyed``: parts without such a variable
+    don't join (MINUS); otherwise all their rows do, as SPARQL wants.  ``how``: inner, left, left_semi or left_anti.
+    """
+    scratch = Scratch(left.sparkSession, "compatible")
+    left, right = scratch.table(left), scratch.table(right)
+    free_right = [{n[1:]: v for n, v in p.items()} for p in _unbound(right, ["r" + n for n in loose])]
+    out = []
+    for mine in _unbound(left, loose):
+        rest = part = left.where(reduce(Column.__and__, [_q(n).isNull() if v else _q(n).isNotNull() for n, v in mine.items()], F.lit(True)))
+        for theirs in free_right:
+            keys = [n for n in shared if not mine.get(n) and not theirs.get(n)]
+            other = right.where(reduce(Column.__and__, [_q("r" + n).isNull() if v else _q("r" + n).isNotNull() for n, v in theirs.items()], F.lit(True)))
+            if not keys and keyed:
+                continue
+            cond = reduce(Column.__and__, [_q(n) == _q("r" + n) for n in keys], F.lit(True))
+            cond = cond if where is None else cond & where
+            if how in ("inner", "left"):
+                out.append(part.join(other, cond, "inner"))
+            elif where is None:
+                other = other.select(*["r" + n for n in keys]).distinct() if keys else other.limit(1)
+            if how == "left_semi":
+                out.append(rest.join(other, cond, "left_semi"))
+            if how != "inner":
+                rest = rest.join(other, cond, "left_anti")
+        if how == "left":
+            out.append(rest.select("*", *[F.lit(None).cast("string").alias(n) for n in right.columns]))
+        elif how == "left_anti":
+            out.append(rest)
+    return reduce(DataFrame.unionByName, out) if out else left.join(right, F.lit(False), how)
+
+
 def join(a: Solutions, b: Solutions, how: str = "inner", where=None) -> Solutions:
     """Compatible solutions; an unbound variable is compatible with anything."""
     shared = [n for n in b.names if n in a.names]
     loose = [n for n in shared if n in a.maybe or n in b.maybe]
     right = b.df.select(*[_q(n).alias("r" + n) for n in b.names])
-    cond = F.lit(True) if not shared else None
-    for n in shared:
-        c = _q(n) == _q("r" + n)
-        if n in loose:
-            c = c | _q(n).isNull() | _q("r" + n).isNull()
-        cond = c if cond is None else cond & c
-    if where is not None:
-        cond = cond & where([n for n in b.names])
-    both = a.df.join(right, cond, how)
+    extra = None if where is None else where([n for n in b.names])
+    if loose:
+        both = _compatible(a.df, right, shared, loose, how, extra)
+    else:
+        cond = reduce(Column.__and__, [_q(n) == _q("r" + n) for n in shared], F.lit(True))
+        both = a.df.join(right, cond if extra is None else cond & extra, how)
     cols = [(F.coalesce(_q(n), _q("r" + n)) if n in loose else _q(n)).alias(n) for n in a.names] + [_q("r" + n).alias(n) for n in b.names if n not in a.names]
     maybe = (a.maybe | b.maybe) - {n for n in shared if n not in a.maybe or (how == "inner" and n not in b.maybe)}
     if how == "left":
@@ -175,10 +213,10 @@ class Evaluator:
                 if shared:
                     right = part.df.select(*[_q(n).alias("r" + n) for n in shared]).distinct()
                     loose = [n for n in shared if n in base.maybe or n in part.maybe]
-                    cond = reduce(lambda a, b: a & b, [(_q(n) == _q("r" + n)) | (_q(n).isNull() | _q("r" + n).isNull() if n in loose else F.lit(False)) for n in shared])
-                    if len(loose) == len(shared):
-                        cond = cond & reduce(lambda a, b: a | b, [_q(n).isNotNull() & _q("r" + n).isNotNull() for n in shared])
-                    out = Solutions(base.df.join(right, cond, "left_anti"), base.maybe)
+                    if loose:
+                        out = Solutions(_compatible(base.df, right, shared, loose, "left_anti", keyed=True), base.maybe)
+                    else:
+                        out = Solutions(base.df.join(right, reduce(Column.__and__, [_q(n) == _q("r" + n) for n in shared]), "left_anti"), base.maybe)
             elif kind == "graph":
                 part = self.group(e[2], e[1])
                 out = part if out is None else join(out, part)
@@ -209,8 +247,11 @@ class Evaluator:
             inner = self.group(elements, graph)
             shared = [n for n in inner.names if n in sol.names and n != "?_"]
             right = inner.df.select(*[_q(n).alias("r" + n) for n in shared]).distinct() if shared else inner.df.limit(1)
-            on = reduce(lambda a, b: a & b, [_q(n) == _q("r" + n) if n not in sol.maybe else (_q(n) == _q("r" + n)) | _q(n).isNull() for n in shared], F.lit(True))
-            return Solutions(sol.df.join(right, on, "left_semi" if yes != negated else "left_anti"), sol.maybe)
+            how = "left_semi" if yes != negated else "left_anti"
+            loose = [n for n in shared if n in sol.maybe or n in inner.maybe]
+            if loose:
+                return Solutions(_compatible(sol.df, right, shared, loose, how), sol.maybe)
+            return Solutions(sol.df.join(right, reduce(Column.__and__, [_q(n) == _q("r" + n) for n in shared], F.lit(True)), how), sol.maybe)
         return Solutions(sol.df.where(F.coalesce(self.lib.truth(self.value(cond, self.looker(sol))), F.lit(False))), sol.maybe)
 
     # -- expressions -----------------------------------------------------------------------------

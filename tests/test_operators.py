@@ -528,3 +528,25 @@ def test_rules_from_rdf_files(spark, tmp_path):
     for mode, want in (("separate", {("ex:a", "ex:g1")}), ("global", {("ex:a", "ex:G"), ("ex:b", "ex:G")})):
         out = apply_rules(quads(spark, [("ex:a", "ex:in", "ex:b", "ex:g1"), ("ex:b", "ex:in", "ex:c", "ex:g2")]), [rules_from_statements([("ex:r", "w:head", "?x ex:t true"), ("ex:r", "w:body", "?x ex:in ?y FILTER(regex(str(?y), '[b]$'))"), ("ex:r2", "w:head", "?x ex:t true"), ("ex:r2", "w:body", "?x ex:in ?y . ?w ex:in ?x FILTER(true)"), ("ex:", "w:prefix", "ex")])[i] for i in (0, 1)], mode, "ex:G" if mode == "global" else None)
         assert {(r["s"], r["g"]) for r in out.where("p = 'ex:t'").collect()} == want
+
+
+def test_unbound_variables_join_without_nested_loops(spark):
+    """OPTIONAL, MINUS and EXISTS over variables that may be unbound, against compatibility checked pair by pair."""
+    data = [("ex:a", "ex:p", "ex:b"), ("ex:c", "ex:p", "ex:d"), ("ex:e", "ex:p", "ex:f"), ("ex:a", "ex:q", "ex:x"), ("ex:e", "ex:q", "ex:y"), ("ex:b", "ex:r", "ex:x"), ("ex:d", "ex:r", "ex:z"), ("ex:f", "ex:r", "ex:w")]
+    df = quads(spark, data)
+    of = lambda p: [(s, o) for s, q, o in data if q == p]
+    left = [(s, o, next((y for x, y in of("ex:q") if x == s), None)) for s, o in of("ex:p")]
+    agree = lambda v, w: v is None or w is None or v == w
+    run = lambda text: sorted([tuple(r) for r in sparql.select(df, f"SELECT ?s ?o ?v WHERE {{ {text} }}", prefixes=PX).collect()], key=str)
+    base = "?s ex:p ?o OPTIONAL { ?s ex:q ?v }"
+    want = []
+    for s, o, v in left:
+        hits = [w for x, w in of("ex:r") if x == o and agree(v, w)]
+        want += [(s, o, v or w) for w in hits] or [(s, o, v)]
+    assert run(base + " OPTIONAL { ?o ex:r ?v }") == sorted(want, key=str)
+    assert run(base + " MINUS { ?k ex:r ?v }") == sorted([x for x in left if x[2] is None or x[2] not in {w for _, w in of("ex:r")}], key=str)
+    assert run(base + " FILTER EXISTS { ?o ex:r ?v }") == sorted([x for x in left if any(k == x[1] and agree(x[2], w) for k, w in of("ex:r"))], key=str)
+    assert run(base + " FILTER NOT EXISTS { ?o ex:r ?v }") == sorted([x for x in left if not any(k == x[1] and agree(x[2], w) for k, w in of("ex:r"))], key=str)
+    assert run(base + " OPTIONAL { ?o ex:r ?v FILTER(?v != ex:z) }") == sorted([("ex:a", "ex:b", "ex:x"), ("ex:c", "ex:d", None), ("ex:e", "ex:f", "ex:y")], key=str)
+    plan = sparql.select(df, f"SELECT * WHERE {{ {base} OPTIONAL {{ ?o ex:r ?v }} }}", prefixes=PX)
+    assert "NestedLoop" not in plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")

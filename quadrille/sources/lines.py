@@ -51,25 +51,29 @@ def parse_statements(lines: DataFrame, column: str = "value", nil: str = NIL, fi
     own = line.rlike("[\x1e\x1f]")
     line = F.when(own, F.replace(F.replace(line, F.lit("\x1e"), F.lit("\x1e0")), F.lit("\x1f"), F.lit("\x1e1"))).otherwise(line)
     laid = F.regexp_replace(line, STATEMENT, "".join(f"\x1f${i}" for i in range(1, GROUPS + 1)))
-    parts = lines.select(F.split(laid, "\x1f").alias("x"), own.alias("own"), *([file.alias("file")] if file is not None else [])).where(F.size("x") == GROUPS + 1)
-    back = lambda c: F.when(F.col("own"), F.replace(F.replace(c, F.lit("\x1e1"), F.lit("\x1f")), F.lit("\x1e0"), F.lit("\x1e"))).otherwise(c)
-    parts = parts.select(*[back(F.try_element_at("x", F.lit(i + 1))).alias(f"x{i}") for i in range(1, GROUPS + 1)], *(["file"] if file is not None else []))
-    some = lambda n: F.when(F.col(f"x{n}") != "", F.col(f"x{n}"))
+    parts = lines.select(F.split(laid, "\x1f").alias("x"), *([file.alias("file")] if file is not None else [])).where(F.size("x") == GROUPS + 1)
+    # Escapes and separators are resolved in one place for all groups, and only in lines that hold any.
+    text = F.array_join("x", "")
+    back = lambda c: F.replace(F.replace(c, F.lit("\x1e1"), F.lit("\x1f")), F.lit("\x1e0"), F.lit("\x1e"))
+    plain = F.when(F.contains(text, F.lit("\\")) | F.contains(text, F.lit("\x1e")), F.transform("x", lambda c: unescape(back(c)))).otherwise(F.col("x"))
+    parts = parts.select(plain.alias("x"), *(["file"] if file is not None else []))
+    x = lambda n: F.get("x", F.lit(n))
+    some = lambda n: F.when(x(n) != "", x(n))
 
     def node(iri: int, bnode: int) -> Column:
-        name = F.col(f"x{bnode}")
+        name = x(bnode)
         if file is not None:
             name = F.concat(F.lit("_:b"), F.substring(F.sha2(F.concat_ws("|", name, "file"), 256), 1, 24))
-        return F.when(F.col(f"x{bnode}") != "", name).otherwise(unescape(F.col(f"x{iri}")))
+        return F.when(x(bnode) != "", name).otherwise(x(iri))
 
-    literal = (F.col("x6") != "") | (F.col("x8") != "")
-    kind = lambda bnode: F.when(F.col(f"x{bnode}") != "", BNODE).otherwise(IRI).cast("tinyint")
-    graph = F.when((F.col("x12") != "") | (F.col("x13") != ""), node(12, 13))
+    literal = (x(6) != "") | (x(8) != "")
+    kind = lambda bnode: F.when(x(bnode) != "", BNODE).otherwise(IRI).cast("tinyint")
+    graph = F.when((x(12) != "") | (x(13) != ""), node(12, 13))
     graph = F.when(graph != nil, graph)
     return parts.select(
-        node(1, 2).alias("s"), kind(2).alias("s_kind"), unescape(F.col("x3")).alias("p"),
-        F.when(literal, unescape(F.concat("x7", "x9"))).otherwise(node(4, 5)).alias("o"), F.when(literal, LITERAL).otherwise(kind(5)).cast("tinyint").alias("o_kind"),
-        some(10).alias("o_lang"), F.when(F.col("x11") != "", unescape(F.col("x11"))).alias("o_dt"), graph.alias("g"), F.when(graph.isNotNull(), kind(13)).alias("g_kind"),
+        node(1, 2).alias("s"), kind(2).alias("s_kind"), x(3).alias("p"),
+        F.when(literal, F.concat(x(7), x(9))).otherwise(node(4, 5)).alias("o"), F.when(literal, LITERAL).otherwise(kind(5)).cast("tinyint").alias("o_kind"),
+        some(10).alias("o_lang"), some(11).alias("o_dt"), graph.alias("g"), F.when(graph.isNotNull(), kind(13)).alias("g_kind"),
     ).select(*QUAD)
 
 

@@ -16,6 +16,8 @@ HOT_SHARE = 1 / 256
 LIGHT = 64
 #: Entries of the sketch: counts are off by less than 1/2300 of all rows.
 TRACKED = 8192
+#: Rows that may be broadcast; more are joined by shuffling.
+BROADCAST_ROWS = 200_000
 #: Copies of the other side's rows of a hot key in a salted join.
 SALTS = 64
 
@@ -65,3 +67,18 @@ def salted_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     copies = right.where(is_hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rest = F.coalesce(~is_hot, F.lit(False))
     return spread.join(copies, [key, "salt"]).drop("salt").unionByName(left.where(rest).join(right.where(rest), key))
+
+
+def hot_left_join(left: DataFrame, right: DataFrame, key: str, hot: list | None = None) -> DataFrame:
+    """:func:`hot_join` that keeps the rows of ``left`` without a match, with nulls."""
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    head = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left")
+    return head.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, "left"))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if a count finds at most ``rows`` rows; let it be a table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quadrille.model import FULL, IRI, LITERAL, QUAD, Vocabulary, as_quads, quads
 from quadrille.operators.closure import transitive
+from quadrille.operators.hotjoin import small
 from quadrille.storage import Scratch
 
 RULES = "rdfd2 rdfs1 rdfs2 rdfs3 rdfs4a rdfs4b rdfs5 rdfs6 rdfs7 rdfs8 rdfs9 rdfs10 rdfs11 rdfs12 rdfs13".split()
@@ -89,6 +90,8 @@ def rdfs(
     dom = scratch.table(pick("rdfs:domain").unionByName(axiom([(p, d) for p, d, _ in SIGNATURES])).distinct())
     rng = scratch.table(pick("rdfs:range").unionByName(axiom([(p, r) for p, _, r in SIGNATURES])).distinct())
     sc = scratch.table(sc.join(class_kind, "b", "left").withColumn("bk", F.coalesce("bk", F.lit(0).cast("tinyint"))))
+    # The closed schema is joined to every statement by predicate or class, of which few hold most rows: broadcast if a count allows.
+    by_p, by_class, by_dom, by_rng = small(sp), small(sc), small(dom), small(rng)
     type_, none = v("rdf:type"), F.lit(None).cast("string")
 
     def fact(frame: DataFrame, s: Column, sk: Column, p: Column | str, o: Column | str, ok: Column | int = IRI) -> DataFrame:
@@ -102,16 +105,16 @@ def rdfs(
         """Everything the closed schema gives for ``data``; each step is written once, as it is read often."""
         props = data
         if on("rdfs7"):
-            props = data.unionByName(data.join(sp, F.col("p") == F.col("a")).withColumn("p", F.col("b")).select(*QUAD))
+            props = data.unionByName(data.join(by_p, F.col("p") == F.col("a")).withColumn("p", F.col("b")).select(*QUAD))
         props = scratch.table(props.distinct())
         types = [props.where((F.col("p") == type_) & resource)]
         # Domains and ranges only look at what a type comes from, each once.
         uses = props.select("s", "s_kind", "p", "g", "g_kind").distinct()
         if on("rdfs2"):
-            types.append(fact(uses.join(dom, F.col("p") == F.col("a")), s, sk, type_, F.col("b"), F.col("bk")))
+            types.append(fact(uses.join(by_dom, F.col("p") == F.col("a")), s, sk, type_, F.col("b"), F.col("bk")))
         if on("rdfs3"):
             ends = props.where(resource).select("p", "o", "o_kind", "g", "g_kind").distinct()
-            types.append(fact(ends.join(rng, F.col("p") == F.col("a")), o, ok, type_, F.col("b"), F.col("bk")))
+            types.append(fact(ends.join(by_rng, F.col("p") == F.col("a")), o, ok, type_, F.col("b"), F.col("bk")))
         if on("rdfs4a"):
             types.append(fact(uses.select("s", "s_kind", "g", "g_kind").distinct(), s, sk, type_, v("rdfs:Resource")))
         if on("rdfs4b"):
@@ -123,7 +126,7 @@ def rdfs(
         typed = scratch.table(reduce(DataFrame.unionByName, types).distinct())
         out = props.unionByName(typed)
         if on("rdfs9"):
-            out = out.unionByName(fact(typed.join(sc, o == F.col("a")), s, sk, type_, F.col("b"), F.col("bk")))
+            out = out.unionByName(fact(typed.join(by_class, o == F.col("a")), s, sk, type_, F.col("b"), F.col("bk")))
         return out.distinct()
 
     def tail(data: DataFrame) -> DataFrame:
@@ -161,6 +164,9 @@ def rdfs(
         for k in known[1:]:
             data = data.unionByName(k)
         fresh = stratum(scratch.table(tail(delta).unionByName(delta).distinct()))
+        fresh = scratch.table(fresh)
+        # Only what is known of the same subjects - classes and properties - can be the same.
+        data = data.join(small(scratch.table(fresh.select("s").distinct())), "s", "left_semi").select(*QUAD)
         cond = [data[c].eqNullSafe(fresh[c]) for c in QUAD]
         new, n = scratch.counted(fresh.join(data, cond, "left_anti"))
         if not n["rows"]:

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from quadrille.model import FULL, IRI, LITERAL, NAMESPACES, QUAD, TBOX_CLASSES, TBOX_PROPERTIES, Vocabulary, as_quads, namespace, term_rank
 from quadrille.operators.closure import component_labels
+from quadrille.operators.hotjoin import BROADCAST_ROWS, hot_left_join
 from quadrille.storage import Scratch
 
-#: Aliases that may be broadcast; more are joined by shuffling.
-BROADCAST_ALIASES = 200_000
 
 
 def same_as_link(vocab: Vocabulary = FULL) -> Column:
@@ -42,17 +41,24 @@ def smush(df: DataFrame, ranked: Sequence[str] = (), vocab: Vocabulary = FULL, p
     """
     df = as_quads(df)
     alias = canonical_terms(df, ranked, vocab, prefixes)
-    few = alias.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
-    out = df
-    for col in ("s", "o", "p", "g"):
-        table = alias
-        if col in ("p", "g"):  # few distinct values: look only those up
-            table = alias.join(df.select(F.col(col).alias("term")).distinct(), "term", "left_semi")
-        table = table.select(F.col("term").alias(f"{col}_term"), F.col("canon").alias(f"{col}_canon"), F.col("canon_kind").alias(f"{col}_ck"))
+    scratch, out = Scratch(df.sparkSession, "smush"), df
+    count = lambda table: table.limit(BROADCAST_ROWS + 1).count()
+    many = count(alias) > BROADCAST_ROWS
+    for col in ("p", "g", "s", "o"):
+        table, n = alias, None
+        if many and col in ("p", "g"):  # their few distinct values are looked up apart, whatever the number of aliases
+            table = scratch.table(alias.join(df.select(F.col(col).alias("term")).distinct(), "term", "left_semi"))
+            n = count(table)
+        table = table.select(F.col("term").alias(col), F.col("canon").alias(f"{col}_canon"), F.col("canon_kind").alias(f"{col}_ck"))
         if col == "p":
             table = table.where(F.col("p_ck") == IRI)
-        usable = (F.col(col) == F.col(f"{col}_term")) & (F.col("o_kind") < LITERAL if col == "o" else F.lit(True))
-        out = out.join(F.broadcast(table) if few else table, usable, "left")
+        if not many or (n is not None and n <= BROADCAST_ROWS):
+            out = out.join(F.broadcast(table), col, "left")
+        else:  # beyond what may be broadcast: shuffled, hot terms apart
+            out = hot_left_join(scratch.table(out), table, col)
+    # A literal that reads like a term isn't one.
+    literal = F.col("o_kind") == LITERAL
+    out = out.withColumns({c: F.when(~literal, F.col(c)) for c in ("o_canon", "o_ck")})
     new = lambda c: F.coalesce(f"{c}_canon", c)
     kind = lambda c: F.coalesce(f"{c}_ck", f"{c}_kind")
     link = same_as_link(vocab) | ((F.col("p") == vocab("owl:sameAs")) & (F.col("o_kind") < LITERAL))

@@ -68,6 +68,14 @@ class Scratch:
         found = {k: v if k == "hot" else int(v or 0) for k, v in seen.get.items()}
         return out, found | ({"hot": hot_of(found["hot"], found["rows"])} if hot else {})
 
+    def marked(self, df: DataFrame, hot: str) -> tuple[DataFrame, tuple, list]:
+        """:meth:`table` with its :func:`fingerprint` and the hot keys of ``hot``, taken while it is written."""
+        seen, h = Observation(), F.xxhash64(*df.columns)
+        sums = [F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("mix"), F.sum(h.bitwiseAND((1 << 40) - 1)).alias("total"), top_keys(hot).alias("hot")]
+        out = self.table(df.observe(seen, *sums))
+        got = seen.get
+        return out, (int(got["rows"]), int(got["mix"] or 0), int(got["total"] or 0)), hot_of(got["hot"], got["rows"])
+
     def bucketed(self, df: DataFrame, buckets: int, keys: Sequence[str], split: str | None = None) -> DataFrame:
         """Write ``df`` hash-bucketed and sorted by ``keys``: joins on exactly these keys with
         another frame hash-partitioned into ``buckets`` parts need no exchange of this side, and if every

@@ -98,7 +98,7 @@ class Library:
         return F.concat(F.lit('"'), F.replace(text, F.lit("Infinity"), F.lit("INF")), F.lit('"^^'), name)
 
     def text(self, v: Value) -> Column:
-        return label(v.col) if v.kind == "term" else label(self.term(v)) if v.kind == "number" else v.col.cast("string")
+        return label(v.col) if v.kind == "term" else let(label, self.term(v)) if v.kind == "number" else v.col.cast("string")
 
     def num(self, v: Value) -> Column:
         """The ``number`` struct of a value; null if it is no number."""
@@ -109,7 +109,10 @@ class Library:
             return pack(F.when(v.col.isNotNull(), 1), v.col, none, none)
         if v.kind != "term":
             return pack(none.cast("int"), none, none, none)
-        dt, text = datatype_of(v.col, self.vocab), F.trim(label(v.col))
+        return F.when(v.col.startswith('"'), let(self._parse, datatype_of(v.col, self.vocab), F.trim(label(v.col))))
+
+    def _parse(self, dt: Column, text: Column) -> Column:
+        none = F.lit(None)
         of = lambda n: dt == self.vocab(f"xsd:{n}")
         whole = dt.isin([x for x in self.numeric if not x.endswith(("decimal", "double", "float"))]) & text.rlike(r"^[+-]?[0-9]+\z")
         rank = F.when(whole, 1).when(of("decimal") & text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"), 2).when(of("float"), 3).when(of("double"), 4)
@@ -144,21 +147,25 @@ class Library:
 
     def equal(self, a: Value, b: Value) -> Column:
         """Numbers by value, plain and xsd:string literals as one, everything else as terms."""
-        numbers = self.is_numeric(a) & self.is_numeric(b)
         suffix = f"^^{self.vocab('xsd:string')}"
         cut = '(?<=")' + re.escape(suffix) + r"\z"
         plain = lambda v: F.regexp_replace(self.term(v), cut, "")
-        return F.when(numbers, self.compare(a, b, lambda x, y: x == y)).otherwise(plain(a) == plain(b))
+        return F.coalesce(self.compare(a, b, lambda x, y: x == y), plain(a) == plain(b))
 
     def compare(self, a: Value, b: Value, op: Callable[[Column, Column], Column]) -> Column:
-        """Two numbers: integers and decimals exactly, others as doubles."""
-        x, y = self.num(a), self.num(b)
-        exact = x["d"].isNotNull() & y["d"].isNotNull()
-        return F.when((x["r"] == 1) & (y["r"] == 1), op(x["i"], y["i"])).when(exact, op(x["d"], y["d"])).otherwise(op(x["f"], y["f"]))
+        """Two numbers: integers and decimals exactly, others as doubles; null if one is no number."""
+        if "str" in (a.kind, b.kind) or "bool" in (a.kind, b.kind):
+            return F.lit(None).cast("boolean")
+
+        def both(x: Column, y: Column) -> Column:
+            exact = x["d"].isNotNull() & y["d"].isNotNull()
+            return F.when((x["r"] == 1) & (y["r"] == 1), op(x["i"], y["i"])).when(exact, op(x["d"], y["d"])).otherwise(op(x["f"], y["f"]))
+
+        return let(both, self.num(a), self.num(b))
 
     def less(self, a: Value, b: Value, op: Callable[[Column, Column], Column]) -> Column:
         x, y = self.is_numeric(a), self.is_numeric(b)  # a number and anything else don't compare
-        return F.when(x & y, self.compare(a, b, op)).when(~x & ~y, op(self.text(a), self.text(b)))
+        return F.coalesce(self.compare(a, b, op), F.when(~x & ~y, op(self.text(a), self.text(b))))
 
     def arithmetic(self, op: str, a: Value, b: Value) -> Value:
         """The type is the higher of both; integers divide to a decimal; a division by zero is an error but for floats."""
@@ -212,18 +219,9 @@ class Library:
 
     def cast(self, dt: str, v: Value) -> Value:
         text = F.trim(self.text(v))
-        none, n = F.lit(None), self.num(v)
-        truth = F.when(datatype_of(self.term(v), self.vocab) == self.vocab("xsd:boolean"), F.when(text.isin("true", "1"), 1).when(text.isin("false", "0"), 0))
-        real = F.coalesce(n["f"], truth.cast("double"), F.when(text == "INF", float("inf")).when(text == "-INF", float("-inf")).otherwise(text.try_cast("double")))
-        decimal = F.coalesce(n["d"], truth.try_cast(EXACT), F.when(text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"), text.try_cast(EXACT)), n["f"].try_cast(EXACT))
-        if dt in ("xsd:integer", "xsd:int", "xsd:long"):
-            cut = F.when(decimal < 0, F.ceil(decimal)).otherwise(F.floor(decimal)).try_cast(WHOLE)
-            whole = F.coalesce(n["i"], F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast(WHOLE)), F.when(n.isNotNull() | truth.isNotNull(), cut))
-            return Value(pack(F.when(whole.isNotNull(), 1), whole, none, none), "number")
-        if dt == "xsd:decimal":
-            return Value(pack(F.when(decimal.isNotNull(), 2), none, decimal, none), "number")
-        if dt in ("xsd:double", "xsd:float"):
-            return Value(pack(F.when(real.isNotNull(), 4 if dt == "xsd:double" else 3), none, none, real), "number")
+        if dt in ("xsd:integer", "xsd:int", "xsd:long", "xsd:decimal", "xsd:double", "xsd:float"):
+            typed = datatype_of(v.col, self.vocab) == self.vocab("xsd:boolean") if v.kind == "term" else F.lit(v.kind == "bool")
+            return Value(let(lambda n, x, b: self._cast_number(dt, n, x, b), self.num(v), text, typed), "number")
         if dt == "xsd:boolean":
             return Value(F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False), "bool")
         if dt == "xsd:string":
@@ -231,6 +229,20 @@ class Library:
         kind = "date" if dt == "xsd:date" else "timestamp"
         return Value(F.when(text.try_cast(kind).isNotNull(), self.typed(text, dt)))
 
+    @staticmethod
+    def _cast_number(dt: str, n: Column, text: Column, is_bool: Column) -> Column:
+        none = F.lit(None)
+        truth = F.when(is_bool, F.when(text.isin("true", "1"), 1).when(text.isin("false", "0"), 0))
+        if dt in ("xsd:double", "xsd:float"):
+            real = F.coalesce(n["f"], truth.cast("double"), F.when(text == "INF", float("inf")).when(text == "-INF", float("-inf")).otherwise(text.try_cast("double")))
+            return pack(F.when(real.isNotNull(), 4 if dt == "xsd:double" else 3), none, none, real)
+        decimal = F.coalesce(n["d"], truth.try_cast(EXACT), F.when(text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"), text.try_cast(EXACT)), n["f"].try_cast(EXACT))
+        if dt == "xsd:decimal":
+            return let(lambda d: pack(F.when(d.isNotNull(), 2), none, d, none), decimal)
+        cut = F.when(n.isNotNull() | truth.isNotNull(), let(lambda d: F.when(d < 0, F.ceil(d)).otherwise(F.floor(d)).try_cast(WHOLE), decimal))
+        whole = F.coalesce(n["i"], F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast(WHOLE)), cut)
+        return let(lambda i: pack(F.when(i.isNotNull(), 1), i, none, none), whole)
+
     def fn_str(self, v):
         return Value(self.text(v), "str")
 

@@ -7,10 +7,10 @@ distinct count is a two-step aggregation over narrow keys, so no counting state
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.model import FULL, IRI, LITERAL, QUAD, TBOX_CLASSES, Vocabulary, as_quads, local_name
+from quadrille.model import FULL, IRI, LITERAL, QUAD, TBOX_CLASSES, Vocabulary, as_quads, format_term, local_name
 from quadrille.operators.semantic import is_tbox
 
 
@@ -66,6 +66,49 @@ def class_stats(df: DataFrame, threshold: int = 0, source_property: str | None =
     return out.drop("properties_sum").where(F.col("entities") >= threshold)
 
 
+def cooccurrence(df: DataFrame, source_property: str | None = None, source_graph: str | None = None, vocab: Vocabulary = FULL) -> DataFrame:
+    """(source, class, classes, properties): distinct types and other properties of the members of each class."""
+    d = with_sources(df, source_property, source_graph)
+    is_type = (F.col("p") == vocab("rdf:type")) & (F.col("o_kind") == IRI)
+    types = d.where(is_type).select(F.col("source").alias("src"), F.col("s").alias("member"), F.col("o").alias("class")).distinct()
+    used = d.select("source", "s", is_type.alias("typed"), F.when(is_type, F.col("o")).otherwise(F.col("p")).alias("term")).distinct()
+    both = used.join(types, F.col("source").eqNullSafe(F.col("src")) & (F.col("s") == F.col("member"))).select("source", "class", "typed", "term").distinct()
+    return both.groupBy("source", "class").agg(F.count(F.when(F.col("typed"), 1)).alias("classes"), F.count(F.when(~F.col("typed"), 1)).alias("properties"))
+
+
+#: Statements in the example of a class, and characters of an object in any example.
+EXAMPLE_LINES, EXAMPLE_WIDTH = 20, 40
+
+
+def _short(value: Column) -> Column:
+    return F.when(F.char_length(value) > EXAMPLE_WIDTH, F.concat(F.left(value, F.lit(EXAMPLE_WIDTH)), F.lit("..."))).otherwise(value)
+
+
+def _object_text() -> Column:
+    return format_term(_short(F.col("o")), F.col("o_kind"), F.col("o_lang"), F.col("o_dt"))
+
+
+def class_examples(df: DataFrame, vocab: Vocabulary = FULL) -> DataFrame:
+    """(class, example): the first IRI that is a member, with up to ``EXAMPLE_LINES`` of its statements in order.
+
+    First members are a mergeable minimum; lines are cut to the first ones on either side of the shuffle.
+    """
+    base = as_quads(df)
+    members = base.where((F.col("p") == vocab("rdf:type")) & (F.col("o_kind") == IRI) & (F.col("s_kind") == IRI)).groupBy(F.col("o").alias("class")).agg(F.min("s").alias("s"))
+    # One line a statement and member, then those of each class it stands for.
+    lines = base.join(members.select("s").distinct(), "s", "left_semi").select("s", F.concat(F.lit("    <"), F.col("p"), F.lit("> "), _object_text()).alias("line")).distinct()
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("line"))).where(F.col("n") <= EXAMPLE_LINES)
+    text = lines.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list("line")), ";\n").alias("lines"))
+    return members.join(text, "s").select("class", F.concat(F.lit("<"), "s", F.lit(">\n"), "lines", F.lit(".")).alias("example"))
+
+
+def property_examples(df: DataFrame) -> DataFrame:
+    """(property, example): the first statement with each kind of object, of subjects that are IRIs."""
+    line = F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), _object_text(), F.lit(" ."))
+    first = as_quads(df).where(F.col("s_kind") == IRI).groupBy("p", "o_kind").agg(F.min(line).alias("line"))
+    return first.groupBy(F.col("p").alias("property")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("example"))
+
+
 def property_stats(df: DataFrame, threshold: int = 0, source_property: str | None = None, source_graph: str | None = None, vocab: Vocabulary = FULL) -> DataFrame:
     """(source, property, triples, distinct_subjects, entities, distinct_objects, detected_type,
     functional, inverse_functional) per property.  IRI objects of rdf:type don't count as objects."""
@@ -86,9 +129,11 @@ def property_stats(df: DataFrame, threshold: int = 0, source_property: str | Non
     ).where(F.col("triples") >= threshold)
 
 
-def stats_quads(df: DataFrame, ns: str = "stats:", threshold: int = 0, source_property: str | None = None, source_graph: str | None = None, vocab: Vocabulary = FULL) -> DataFrame:
+def stats_quads(df: DataFrame, ns: str = "stats:", threshold: int = 0, source_property: str | None = None, source_graph: str | None = None, vocab: Vocabulary = FULL, cooccurrences: bool = False) -> DataFrame:
     """The statistics as VOID statements in the default graph; zero counts are not written.
 
+    Partitions are linked to their dataset and the terms to their partitions; those over the whole data have examples.
+    With ``cooccurrences`` datasets and class partitions also tell how many classes and properties they use.
     Partitions are named ``ns`` + local name (+ source), with a number in term order where names clash.
     """
     d = df
@@ -96,13 +141,18 @@ def stats_quads(df: DataFrame, ns: str = "stats:", threshold: int = 0, source_pr
     cls = class_stats(d, threshold, source_property, source_graph, vocab)
     prop = property_stats(d, threshold, source_property, source_graph, vocab)
     base = lambda t, s: F.concat(F.lit(ns), local_name(t), F.when(s.isNotNull(), F.concat(F.lit("_"), local_name(s))).otherwise(""))
-    from pyspark.sql import Window
-
     def named(frame: DataFrame, term: str) -> DataFrame:
         name = base(F.col(term), F.col("source"))
         n = F.row_number().over(Window.partitionBy(name).orderBy(F.col("source").asc_nulls_first(), term))
         return frame.withColumn("id", F.when(n == 1, name).otherwise(F.concat(name, F.lit("_"), (n - 1).cast("string"))))
 
+    if cooccurrences:
+        both = cooccurrence(d, source_property, source_graph, vocab).select(F.col("source").alias("src"), F.col("class").alias("of"), "classes", "properties")
+        cls = cls.join(both, F.col("source").eqNullSafe(F.col("src")) & (F.col("class") == F.col("of")), "left").drop("src", "of")
+    whole = F.col("source").isNull()
+    cls = cls.join(class_examples(d, vocab), "class", "left").withColumn("example", F.when(whole, F.col("example")))
+    prop = prop.join(property_examples(d), "property", "left").withColumn("example", F.when(whole, F.col("example")))
+    dataset = F.concat(F.lit(ns), F.coalesce(local_name(F.col("source")), F.lit("all")))
     sets = src.withColumn("id", F.concat(F.lit(ns), F.coalesce(local_name(F.col("source")), F.lit("all"))))
     cls, prop = named(cls, "class"), named(prop, "property")
     number = {"entities": "void:entities", "triples": "void:triples", "tbox_triples": "voidx:tboxTriples", "abox_triples": "voidx:aboxTriples", "type_triples": "voidx:typeTriples", "same_as_triples": "voidx:sameAsTriples"}
@@ -126,12 +176,24 @@ def stats_quads(df: DataFrame, ns: str = "stats:", threshold: int = 0, source_pr
     flags = F.concat(F.when(F.col("functional"), "F").otherwise(""), F.when(F.col("inverse_functional"), "I").otherwise(""))
     letter = F.when(F.col("detected_type") == "owl:DatatypeProperty", "D").when(F.col("detected_type") == "owl:ObjectProperty", "O").otherwise("P")
     label = lambda t, n, extra: F.concat(local_name(F.col(t)), F.lit(" ("), F.col(n).cast("string"), extra, F.lit(")"))
+    terms = [("void:classes", literal(F.col("classes"), "xsd:long")), ("void:properties", literal(F.col("properties"), "xsd:long"))] if cooccurrences else []
+    example = ("voidx:example", literal(F.col("example"), "xsd:string"))
+
+    def links(frame: DataFrame, term: str, partition: str) -> DataFrame:
+        """Dataset to partition, and term to partition."""
+        own = frame.select(F.col("id").alias("part"), dataset.alias("id"), F.col(term).alias("term"), whole.alias("whole"))
+        named_by = own.select("part", F.col("term").alias("id"), "whole")
+        return emit(own, [(partition, iri(F.col("part")))]).unionByName(
+            emit(named_by, [("voidx:globalStats", iri(F.when(F.col("whole"), F.col("part")))), ("voidx:sourceStats", iri(F.when(~F.col("whole"), F.col("part"))))])
+        )
+
     return (
-        emit(sets, [("rdf:type", iri(F.lit(full("void:Dataset")))), ("voidx:source", iri(F.col("source"))), *counts, ("void:classes", literal(F.col("classes"), "xsd:long")), ("void:properties", literal(F.col("properties"), "xsd:long"))])
-        .unionByName(emit(cls, [("rdf:type", iri(F.lit(full("void:Dataset")))), ("void:class", iri(F.col("class"))), ("voidx:source", iri(F.col("source"))), ("voidx:label", literal(label("class", "entities", F.lit("")), "xsd:string")), *counts, ("voidx:averageProperties", literal(F.col("average_properties"), "xsd:double"))]))
+        emit(sets, [("rdf:type", iri(F.lit(full("void:Dataset")))), ("voidx:source", iri(F.col("source"))), *counts, *terms])
+        .unionByName(links(cls, "class", "void:classPartition")).unionByName(links(prop, "property", "void:propertyPartition"))
+        .unionByName(emit(cls, [("rdf:type", iri(F.lit(full("void:Dataset")))), ("void:class", iri(F.col("class"))), ("voidx:source", iri(F.col("source"))), ("voidx:label", literal(label("class", "entities", F.lit("")), "xsd:string")), *counts, *terms, ("voidx:averageProperties", literal(F.col("average_properties"), "xsd:double")), example]))
         .unionByName(emit(prop, [
             ("rdf:type", iri(F.lit(full("void:Dataset")))), ("void:property", iri(F.col("property"))), ("voidx:source", iri(F.col("source"))), ("voidx:label", literal(label("property", "triples", F.concat(F.lit(", "), letter, flags)), "xsd:string")),
             ("void:entities", literal(F.col("entities"), "xsd:long")), ("void:triples", literal(F.col("triples"), "xsd:long")), ("void:properties", literal(F.lit(1), "xsd:long")),
-            ("void:distinctSubjects", literal(F.col("distinct_subjects"), "xsd:long")), ("void:distinctObjects", literal(F.col("distinct_objects"), "xsd:long")),
+            ("void:distinctSubjects", literal(F.col("distinct_subjects"), "xsd:long")), ("void:distinctObjects", literal(F.col("distinct_objects"), "xsd:long")), example,
         ]))
     )

@@ -201,7 +201,12 @@ class Pipeline:
         from quadrille.sources import write_quads
 
         o, files = ARGUMENTS["write"].read(args)
-        return self.tee(lambda df: write_quads(df, *files, chunk=int(o.get("c", 1))))
+        def sink(df: DataFrame) -> None:
+            # What @prefix found before: at most as many names as its table has.
+            found = {} if self.bindings is None else {r["prefix"]: r["ns"] for r in self.bindings.collect()}
+            write_quads(df, *files, chunk=int(o.get("c", 1)), prefixes=found)
+
+        return self.tee(sink)
 
     def tee(self, sink: Callable[[DataFrame], object]) -> Step:
         """Pass statements through and hand them to a sink when the pipeline runs."""
@@ -321,7 +326,7 @@ class Pipeline:
     def stats(self, args):
         o, _ = ARGUMENTS["stats"].read(args)
         name = lambda k: None if k not in o else str(o[k]).strip("<>") if "/" in str(o[k]) else transform.expand(str(o[k]), self.prefixes, self.vocab)
-        return lambda df: stats.stats_quads(df, str(o.get("n", "stats:")), int(o.get("t", 0)), name("p"), name("c"), self.vocab)
+        return lambda df: stats.stats_quads(df, str(o.get("n", "stats:")), int(o.get("t", 0)), name("p"), name("c"), self.vocab, "o" in o)
 
     def track(self, args):
         """Count statements as they pass."""

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.queries import problems, reference
+from quadrille.queries import more, problems, reference
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES, **reference.QUERIES}
-ORACLE: dict[str, str] = {**problems.ORACLE, **reference.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES, **reference.QUERIES, **more.QUERIES}
+ORACLE: dict[str, str] = {**problems.ORACLE, **reference.ORACLE, **more.ORACLE}
 
 
 flagship = reference.flagship

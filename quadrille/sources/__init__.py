@@ -7,9 +7,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.model import NAMESPACES, bag_union
-from quadrille.sources.documents import format_of, read_documents, read_packed_lines
+from quadrille.sources.documents import PARSERS, format_of, read_documents, read_packed_lines
 from quadrille.sources.lines import read_lines, write_lines
 
+#: Compressions that are written, by extension.
+CODECS = {"gz": "gzip", "bz2": "bzip2"}
 LINE_FORMATS = ("nt", "nq", "tql")
 
 
@@ -32,7 +34,8 @@ def read_quads(spark: SparkSession, *locations: str, base: str = "", rewrite_bno
         elif (form or found) in LINE_FORMATS:
             parts.append(read_packed_lines(spark, where, rewrite_bnodes=rewrite_bnodes))
         else:
-            parts.append(read_documents(spark, where, form=form, base=base_iri(base), rewrite_bnodes=rewrite_bnodes))
+            # Files in a directory that was written here have no extension of their own.
+            parts.append(read_documents(spark, where, form=form or (found if found in PARSERS else None), base=base_iri(base), rewrite_bnodes=rewrite_bnodes))
     if lines:
         parts.append(read_lines(spark, *lines, rewrite_bnodes=rewrite_bnodes))
     if not parts:
@@ -40,8 +43,11 @@ def read_quads(spark: SparkSession, *locations: str, base: str = "", rewrite_bno
     return bag_union(*parts)
 
 
-def write_quads(df: DataFrame, *locations: str, chunk: int = 1) -> None:
-    """Write to one or more locations; several get the statements in turn, a chunk at a time."""
+def write_quads(df: DataFrame, *locations: str, chunk: int = 1, prefixes: dict[str, str] | None = None) -> None:
+    """Write to one or more locations; several get the statements in turn, a chunk at a time.
+
+    ``prefixes`` (name to namespace) shorten the terms of Turtle and TriG.  What can't be compressed as named is an error.
+    """
     from pyspark.sql import functions as F
 
     from quadrille.sources.writers import write_documents
@@ -53,7 +59,10 @@ def write_quads(df: DataFrame, *locations: str, chunk: int = 1) -> None:
     for i, where in enumerate(locations):
         part = df.where(F.col("slot") == i) if n > 1 else df
         form, codecs = format_of(where)
+        if len(codecs) > 1 or set(codecs) - set(CODECS):
+            raise ValueError(f"can't write {where}: of compressions {', '.join(CODECS)} can be written, one at a time")
+        codec = CODECS[codecs[0]] if codecs else None
         if form in LINE_FORMATS:
-            write_lines(part, where, {"gz": "gzip", "bz2": "bzip2"}[codecs[0]] if codecs else None)
+            write_lines(part, where, codec)
         else:
-            write_documents(part, where, form)
+            write_documents(part, where, form, compression=codec, prefixes=prefixes)

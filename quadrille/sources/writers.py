@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain, groupby, islice
 from xml.sax.saxutils import escape, quoteattr
@@ -23,6 +24,13 @@ def _iri(v: str) -> str:
     return "<" + "".join(f"\\u{ord(c):04X}" if c in '<>"{}|^`\\' or c <= " " else c for c in v) + ">"
 
 
+def _name(v: str, prefixes: dict[str, str]) -> str:
+    """A prefixed name where the namespace is known and the rest is plain, else the IRI."""
+    cut = max(v.rfind("#"), v.rfind("/"), v.rfind(":")) + 1
+    short = prefixes.get(v[:cut])
+    return f"{short}:{v[cut:]}" if short is not None and re.fullmatch(r"[A-Za-z][A-Za-z0-9_]*", v[cut:]) else _iri(v)
+
+
 def _node(v: str, kind: int, lang=None, dt=None) -> str:
     if kind == LITERAL:
         return _text(v) + (f"@{lang}" if lang else f"^^{_iri(dt)}" if dt else "")
@@ -33,13 +41,16 @@ def _clean(r):
     return [None if pd.isna(x) else x for x in r]
 
 
-def turtle(rows: list, graphs: bool) -> Iterator[str]:
+def turtle(rows: list, graphs: bool, prefixes: dict[str, str] | None = None) -> Iterator[str]:
+    known = {ns: name for name, ns in sorted((prefixes or {}).items(), reverse=True)}
+    node = lambda v, kind, lang=None, dt=None: _name(v, known) if kind == 0 else _text(v) + f"^^{_name(dt, known)}" if kind == LITERAL and dt and not lang else _node(v, kind, lang, dt)
+    yield from (f"@prefix {name}: {_iri(ns)} ." for ns, name in known.items())
     for (g, gk), in_graph in groupby(rows, lambda r: (r[7], r[8])):
         if graphs and g is not None:
-            yield _node(g, gk) + " {"
+            yield node(g, gk) + " {"
         for (s, sk), own in groupby(in_graph, lambda r: (r[0], r[1])):
-            lines = [f"{'a' if r[2] == RDF + 'type' else _iri(r[2])} {_node(*r[3:7])}" for r in own]
-            yield f"{_node(s, sk)} " + " ;\n    ".join(lines) + " ."
+            lines = [f"{'a' if r[2] == RDF + 'type' else _name(r[2], known)} {node(*r[3:7])}" for r in own]
+            yield f"{node(s, sk)} " + " ;\n    ".join(lines) + " ."
         if graphs and g is not None:
             yield "}"
 
@@ -118,7 +129,7 @@ def render(rows: list, form: str) -> str:
     return "\n".join(FORMATS[form](rows))
 
 
-def write_documents(df: DataFrame, path: str, form: str, lines_at_once: int = 10_000) -> None:
+def write_documents(df: DataFrame, path: str, form: str, lines_at_once: int = 10_000, compression: str | None = None, prefixes: dict[str, str] | None = None) -> None:
     """A directory of documents, one per part.
 
     Parts are ranges of (graph, subject, predicate, object), so even a subject with very many
@@ -134,8 +145,9 @@ def write_documents(df: DataFrame, path: str, form: str, lines_at_once: int = 10
         first = next(rows, None)
         if first is None:
             return
-        lines = FORMATS[form](chain([first], rows))
+        rows = chain([first], rows)
+        lines = turtle(rows, form == "trig", prefixes) if prefixes and form in ("ttl", "n3", "trig") else FORMATS[form](rows)
         while block := list(islice(lines, lines_at_once)):
             yield pd.DataFrame({"value": block})
 
-    out.mapInPandas(run, "value string").write.text(path)
+    out.mapInPandas(run, "value string").write.text(path, compression=compression or "none")

@@ -295,22 +295,28 @@ class Evaluator:
 
     # -- query forms -----------------------------------------------------------------------------
 
-    def aggregates(self, e, look, found: dict) -> tuple:
-        """The expression with aggregates replaced by columns, which are collected in ``found``."""
+    def aggregates(self, e, look, found: dict, before: dict) -> tuple:
+        """The expression with aggregates replaced by columns, which are collected in ``found``; what they aggregate is
+        collected in ``before``, to be worked out once a row."""
         if not isinstance(e, tuple):
             return e
         if e[0] == "agg":
             _, name, distinct, arg, sep = e
             v = Value(F.lit(1), "int") if arg == ("all",) else self.value(arg, look)
-            term, num = self.lib.term(v), self.lib.number(v)
+            n = len(before)
+            before[f"arg{n}"] = self.lib.term(v)
+            if name in ("SUM", "AVG", "MIN", "MAX"):
+                before[f"num{n}"] = self.lib.num(v)
+            term, number = _q(f"arg{n}"), Value(_q(f"num{n}"), "number")
+            v, num = Value(term), _q(f"num{n}")["f"]
             if name == "COUNT":
                 col, kind = (F.countDistinct(term) if distinct else F.count(term)).cast("long"), "int"
             elif name in ("SUM", "AVG"):
-                col, kind = self.lib.total(v, distinct, name == "AVG"), "number"
+                col, kind = self.lib.total(number, distinct, name == "AVG"), "number"
             elif name in ("MIN", "MAX"):
                 f = F.min if name == "MIN" else F.max
-                order = F.struct(self.lib.is_numeric(v), num, term)
-                col, kind = f(order)["col3"], "term"
+                order = F.struct(number.col.isNotNull().alias("a"), num.alias("b"), term.alias("c"))
+                col, kind = f(order)["c"], "term"
             elif name == "SAMPLE":
                 col, kind = F.min(term), "term"
             else:
@@ -319,7 +325,7 @@ class Evaluator:
             key = f"agg{len(found)}"
             found[key] = col
             return ("column", key, kind)
-        return tuple([self.aggregates(x, look, found) if isinstance(x, tuple) else [self.aggregates(y, look, found) for y in x] if isinstance(x, list) else x for x in e])
+        return tuple([self.aggregates(x, look, found, before) if isinstance(x, tuple) else [self.aggregates(y, look, found, before) for y in x] if isinstance(x, list) else x for x in e])
 
     @staticmethod
     def has_aggregate(e) -> bool:
@@ -334,11 +340,12 @@ class Evaluator:
         order = q.order
         if grouped:
             found: dict[str, Column] = {}
-            items = [(self.aggregates(e, look, found), n) for e, n in items]
-            having = [self.aggregates(e, look, found) for e in q.having]
-            order = [(self.aggregates(e, look, found), up) for e, up in q.order]
+            before: dict[str, Column] = {}
+            items = [(self.aggregates(e, look, found, before), n) for e, n in items]
+            having = [self.aggregates(e, look, found, before) for e in q.having]
+            order = [(self.aggregates(e, look, found, before), up) for e, up in q.order]
             keys = [self.lib.term(self.value(e, look)).alias(n) for e, n in q.group]
-            df = sol.df.groupBy(*keys).agg(*[c.alias(n) for n, c in found.items()] or [F.count(F.lit(1)).alias("agg_all")])
+            df = sol.df.select(*keys, *[c.alias(n) for n, c in before.items()]).groupBy(*[_q(n) for _, n in q.group]).agg(*[c.alias(n) for n, c in found.items()] or [F.count(F.lit(1)).alias("agg_all")])
             sol = Solutions(df)
             look = self.looker(sol)
             for h in having:

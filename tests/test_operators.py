@@ -136,6 +136,11 @@ def test_stats(spark):
     assert (prop["ex:p"]["detected_type"], prop["ex:p"]["functional"], prop[t]["distinct_objects"], prop["ex:src"]["inverse_functional"]) == ("rdf:Property", True, 0, False)
     void = stats.stats_quads(df, "urn:s:").collect()
     assert any(r["o"] == "p (2, PFI)" for r in void) and not any(r["o"] == "0" for r in void)
+    about = lambda rows_, s, p: sorted(r["o"] for r in rows_ if r["s"] == s and r["p"].endswith(p))
+    assert about(void, "urn:s:all", "classPartition") == ["urn:s:C"] and len(about(void, "urn:s:all", "propertyPartition")) == 3 and about(void, "ex:C", "globalStats") == ["urn:s:C"]
+    assert about(void, "urn:s:C", "example") == [f'<ex:a>\n    <{t}> <ex:C>;\n    <ex:p> "1".'] and about(void, "urn:s:p", "example") == ['<ex:a> <ex:p> "1" .'] and not about(void, "urn:s:all", "classes")
+    both = stats.stats_quads(df, "urn:s:", 0, "ex:src", cooccurrences=True).collect()
+    assert about(both, "urn:s:all", "#classes") == ["1"] and about(both, "urn:s:C", "#properties") == ["1"] and about(both, "ex:C", "sourceStats") == ["urn:s:C_S1"] and about(both, "urn:s:S1", "classPartition") == ["urn:s:C_S1"]
 
 
 def test_stats_of_all_classes_match_sql(spark, tmp_path):

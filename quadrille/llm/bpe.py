@@ -33,6 +33,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TOKENIZERS = "/opt/tokenizers"
 #: Words in the lexicon, the most frequent of the corpus; about 4 MB.
 LEXICON_WORDS = 65_536
+#: Bytes of the longest word in the lexicon: a look-up goes byte by byte through all words at once.
+LEXICON_BYTES = 48
+#: Bytes up to which a word is merged in a plain list.
+SHORT_WORD, NO_RANK = 80, 1 << 60
 #: Characters tokenized at a time.
 SLICE_CHARS = 2_000_000
 #: Words a worker remembers between slices before it starts afresh.
@@ -54,11 +58,24 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Exact ids of one word: always join the adjacent pair of least rank, the leftmost of equals.
 
-    A heap over a linked list, so a word of n bytes takes n log n steps.
+    Short words are joined in a plain list, which is faster there; longer ones by a heap over a linked list, so that
+    a word of n bytes takes n log n steps.
     """
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    if n <= SHORT_WORD:
+        get, parts = ranks.get, [word[i : i + 1] for i in range(n)]
+        rank = [get(word[i : i + 2], NO_RANK) for i in range(n - 1)]
+        while rank and (least := min(rank)) < NO_RANK:
+            i = rank.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del rank[i]
+            if i < len(rank):
+                rank[i] = get(parts[i] + parts[i + 1], NO_RANK)
+            if i:
+                rank[i - 1] = get(parts[i - 1] + parts[i], NO_RANK)
+        return [ranks[x] for x in parts]
     end = list(range(1, n + 1))  # end[i]: where the part that starts at i ends; 0 once merged away
     prev = list(range(-1, n - 1))
     heap = []
@@ -234,7 +251,7 @@ def build_lexicon(texts: DataFrame, column: str = "text", directory: str = TOKEN
     data = vocabulary(directory)
     ranks = parse_ranks(data)
     size = F.floor(F.log2("n") * 16).cast("int")
-    counts = Scratch(spark, "words").table(word_counts(texts, column).where("n > 1").withColumn("size", size))
+    counts = Scratch(spark, "words").table(word_counts(texts, column).where((F.col("n") > 1) & (F.octet_length("word") <= LEXICON_BYTES)).withColumn("size", size))
     # Of the step at which the lexicon is full a share by hash: what is in it is only a matter of speed.
     taken, room = F.lit(False), limit
     for step in counts.groupBy("size").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("size")).collect():

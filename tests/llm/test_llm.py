@@ -321,7 +321,7 @@ def test_colons_end_no_sentence():
 
 
 def test_split_small_limits(spark):
-    df = spark.createDataFrame([(1, "one two three. four five six.\n\nseven eight nine ten eleven")], "doc_id int, text string")
+    df = spark.createDataFrame([(1, "one two three. Four five six.\n\nseven eight nine ten eleven")], "doc_id int, text string")
     got = split.split_oversized(df, limit=6, overlap=2).orderBy("piece_no").collect()
     assert got[0]["ends_at"] == "sentence" and got[-1]["stop_token"] == sum(len(r["ids"]) for r in got) - 2 * (len(got) - 1)
     with pytest.raises(ValueError):

@@ -6,6 +6,7 @@ Sinks (``@write``, ``@upload``) are recorded and run in order by :meth:`Pipeline
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quadrille.model import FULL, Vocabulary, as_quads, bag_union, nothing, quads
 from quadrille.operators import mapreduce, rdfs, script, semantic, setops, stats, transform, unique
+from quadrille.storage import Scratch
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -181,7 +183,12 @@ class Pipeline:
                 at += 1
                 continue
             op = setops.check(tokens[at][1:] or "a")
-            return (lambda df: setops.combine(op, [b(df) for b in branches])), at + 1
+
+            def fused(df: DataFrame) -> DataFrame:
+                shared = self.share(df) if len(branches) > 1 else df
+                return setops.combine(op, [b(shared) for b in branches])
+
+            return fused, at + 1
 
     def operator(self, name: str, args: list[str]) -> Step:
         build = OPERATORS.get(name.lower())
@@ -212,17 +219,27 @@ class Pipeline:
         """Pass statements through and hand them to a sink when the pipeline runs."""
 
         def step(df: DataFrame) -> DataFrame:
+            df = self.share(df)
             self.sinks.append(lambda: sink(df))
             return df
 
         return step
 
+    def share(self, df: DataFrame) -> DataFrame:
+        """Statements that several branches or sinks read: worked out and written once, unless reading them again
+        is only a scan of Parquet files or of rows at hand, whose filters and columns each reader pushes down itself."""
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        nodes = {re.match(r"[\s:+-]*(\w+)", x)[1] for x in plan.splitlines() if re.match(r"[\s:+-]*(\w+)", x)}
+        if nodes <= {"Project", "Filter", "Relation", "LocalRelation"} and not re.search(r"Relation \[[^\n]*\] (?!parquet)\w", plan):
+            return df
+        return Scratch(self.spark, "shared").table(df)
+
     def download(self, args):
         from quadrille.sources.endpoint import download
 
         o, (url,) = ARGUMENTS["download"].read(args)
         query = str(o["q"]) if "q" in o else open(str(o["f"])).read()
-        return lambda df: bag_union(df, download(self.spark, url, query))
+        return lambda df: bag_union(df, download(self.spark, url, query, rewrite_bnodes="w" in o))
 
     def upload(self, args):
         from quadrille.sources.endpoint import upload

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 from itertools import groupby
 from urllib.parse import urlencode
 from urllib.request import Request, urlopen
@@ -12,10 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.model import BNODE, IRI, LITERAL, SCHEMA
+from quadrille.model import BNODE, IRI, LITERAL, QUAD, SCHEMA
 from quadrille.model import quad_line
 
 
+#: Rows handed on at a time.
+AT_ONCE = 50_000
+
+
 def http(url: str, fields: dict[str, str], accept: str) -> str:
     request = Request(url, urlencode(fields).encode(), {"Accept": accept, "Content-Type": "application/x-www-form-urlencoded"})
     with urlopen(request, timeout=600) as r:  # noqa: S310 - the user names the endpoint
@@ -41,14 +46,34 @@ def bindings_to_rows(text: str) -> list[tuple]:
     return out
 
 
-def download(spark: SparkSession, url: str, query: str, fetch: Callable[[str, dict, str], str] = http) -> DataFrame:
-    """The result of a query as quads; CONSTRUCT and DESCRIBE give statements in the default graph."""
+def download(spark: SparkSession, url: str, query: str, fetch: Callable[[str, dict, str], str] = http, rewrite_bnodes: bool = False) -> DataFrame:
+    """The result of a query as quads; CONSTRUCT and DESCRIBE give statements in the default graph.
+
+    One task fetches and reads the answer, the driver never holds it.  ``rewrite_bnodes`` gives blank nodes
+    names of their own for this endpoint and query.
+    """
+    from quadrille.sources.documents import _scoped
     from quadrille.sources.lines import parse_statements
 
+    one, tag = spark.range(0, 1, 1, 1), sha256(f"{url} {query}".encode()).hexdigest()[:16]
     if query.lstrip().upper().startswith(("CONSTRUCT", "DESCRIBE")) or " CONSTRUCT" in query.upper():
-        lines = fetch(url, {"query": query}, "application/n-triples").splitlines()
-        return parse_statements(spark.createDataFrame([(x,) for x in lines], "value string"))
-    return spark.createDataFrame(bindings_to_rows(fetch(url, {"query": query}, "application/sparql-results+json")), SCHEMA)
+
+        def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _ in batches:
+                found = fetch(url, {"query": query}, "application/n-triples").splitlines()
+                for a in range(0, len(found), AT_ONCE):
+                    yield pd.DataFrame({"value": found[a : a + AT_ONCE]})
+
+        return parse_statements(one.mapInPandas(lines, "value string"), file=F.lit(tag) if rewrite_bnodes else None)
+
+    def bindings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            rows = bindings_to_rows(fetch(url, {"query": query}, "application/sparql-results+json"))
+            rows = [_scoped(r, tag) for r in rows] if rewrite_bnodes else rows
+            for a in range(0, len(rows), AT_ONCE):
+                yield pd.DataFrame(rows[a : a + AT_ONCE], columns=QUAD)
+
+    return one.mapInPandas(bindings, SCHEMA)
 
 
 def insert_texts(rows: list[tuple[str | None, str, str, str]]) -> str:

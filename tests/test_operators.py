@@ -138,7 +138,7 @@ def test_stats(spark):
     assert any(r["o"] == "p (2, PFI)" for r in void) and not any(r["o"] == "0" for r in void)
     about = lambda rows_, s, p: sorted(r["o"] for r in rows_ if r["s"] == s and r["p"].endswith(p))
     assert about(void, "urn:s:all", "classPartition") == ["urn:s:C"] and len(about(void, "urn:s:all", "propertyPartition")) == 3 and about(void, "ex:C", "globalStats") == ["urn:s:C"]
-    assert about(void, "urn:s:C", "example") == [f'<ex:a>\n    <{t}> <ex:C>;\n    <ex:p> "1".'] and about(void, "urn:s:p", "example") == ['<ex:a> <ex:p> "1" .'] and not about(void, "urn:s:all", "classes")
+    assert about(void, "urn:s:C", "example") == [f'<ex:a>\n    <ex:p> "1";\n    <{t}> <ex:C>.'] and about(void, "urn:s:p", "example") == ['<ex:a> <ex:p> "1" .'] and not about(void, "urn:s:all", "classes")
     both = stats.stats_quads(df, "urn:s:", 0, "ex:src", cooccurrences=True).collect()
     assert about(both, "urn:s:all", "#classes") == ["1"] and about(both, "urn:s:C", "#properties") == ["1"] and about(both, "ex:C", "sourceStats") == ["urn:s:C_S1"] and about(both, "urn:s:S1", "classPartition") == ["urn:s:C_S1"]
 
@@ -379,7 +379,7 @@ def test_document_parsers():
     assert len(documents.parse_geonames(geo.encode())) == 1
     assert documents.parse_document(gzip.compress(TTL.encode()), "x.ttl.gz")
     packed = documents.parse_document(lzma.compress("\n".join(ESCAPES).encode()), "x.nq.xz")
-    assert len(packed) == 6 and packed[3][3] == "🚢"  # the stricter name rules leave out the first line
+    assert len(packed) == 6 and "🚢" in {r[3] for r in packed}  # the stricter name rules leave out the first line
     tagged = documents.parse_document(TRIG.encode(), "f.trig", rewrite_bnodes=True)
     assert all(r[3].startswith("_:xx") for r in tagged if r[4] == 1)
 
@@ -410,6 +410,8 @@ def test_endpoint(spark):
     reply = json.dumps({"results": {"bindings": [{"subj": {"type": "uri", "value": "ex:s"}, "pred": {"type": "uri", "value": "ex:p"}, "obj": {"type": "literal", "value": "v", "xml:lang": "en"}, "graph": {"type": "uri", "value": "ex:g"}}]}})
     assert rows(endpoint.download(spark, "http://none", "SELECT …", lambda *a: reply), "s", "o", "o_lang", "g") == [("ex:s", "v", "en", "ex:g")]
     assert endpoint.download(spark, "http://none", "CONSTRUCT {}", lambda *a: "<ex:a> <ex:b> <ex:c> .").count() == 1
+    nodes = [endpoint.download(spark, "http://none", q, lambda *a: x, rewrite_bnodes=True).first()["s"] for q, x in (("CONSTRUCT {}", "_:a <ex:b> <ex:c> ."), ("SELECT", reply.replace("uri", "bnode", 1)))]
+    assert all(n.startswith("_:") and n not in ("_:a", "_:ex:s") for n in nodes)
     text = endpoint.insert_texts([("<g>", "<s>", "<p>", "<o>"), ("<g>", "<s>", "<p>", "<q>"), (None, "<s>", "<r>", '"x"')])
     assert text == 'INSERT DATA { <s> <r> "x" . GRAPH <g> { <s> <p> <o>, <q> . } }'
     assert endpoint.upload(quads(spark, TERMS), "http://none", 3, lambda *a: "") == 8
@@ -500,7 +502,7 @@ def test_number_types(spark):
     assert one("SUM(?n)", "?x ex:big ?n") == lit(2**54 + 1, "integer")
     assert one("SUM(?n)", "ex:c ex:d ?n") == lit("0.3", "decimal") and one("AVG(?n)", "ex:c ex:d ?n") == lit("0.15", "decimal")
     assert one("MAX(?n)", "?x ex:d ?n") == lit("2.50", "decimal") and one("SUM(?n)", "?x ex:none ?n") == lit(0, "integer")
-    assert one("SUM(DISTINCT ?n)", "?x ?p ?n FILTER(isNumeric(?n) && ?n < 3)") == lit("3.3", "float")
+    assert one("SUM(DISTINCT ?n)", "?x ?p ?n FILTER(isNumeric(?n) && ?n < 3)") == lit("5.3", "float")
 
 
 RULES_TTL = """
@@ -555,3 +557,26 @@ def test_unbound_variables_join_without_nested_loops(spark):
     assert run(base + " OPTIONAL { ?o ex:r ?v FILTER(?v != ex:z) }") == sorted([("ex:a", "ex:b", "ex:x"), ("ex:c", "ex:d", None), ("ex:e", "ex:f", "ex:y")], key=str)
     plan = sparql.select(df, f"SELECT * WHERE {{ {base} OPTIONAL {{ ?o ex:r ?v }} }}", prefixes=PX)
     assert "NestedLoop" not in plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
+
+
+def test_branches_and_sinks_share_one_run(spark, tmp_path):
+    """What several readers need is parsed once; a scan of Parquet files is left to each of them."""
+    write_quads(quads(spark, [("ex:a", "ex:p", "ex:b"), ("ex:a", "ex:q", "ex:c")]), str(tmp_path / "in.nq"))
+    pipe = Pipeline(spark, prefixes=PX)
+    made = []
+    pipe.share = lambda df, own=pipe.share: made.append(own(df)) or made[-1]
+    out = pipe.run(f"@read {tmp_path / 'in.nq'} {{ @transform '+p ex:p' , @transform '+p ex:q' }}u @write {tmp_path / 'out.ttl.gz'}")
+    assert len(spo(out)) == 2 and len(made) == 2
+    plan = lambda df: df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "Scan text" not in plan(out) and "Scan parquet" in plan(out)
+    assert len(spo(read_quads(spark, str(tmp_path / "out.ttl.gz")))) == 2 and all(f.name.endswith(".gz") for f in (tmp_path / "out.ttl.gz").glob("part-*"))
+    quads(spark, [("ex:a", "ex:p", "ex:b")]).write.parquet(str(tmp_path / "q.parquet"))
+    table = spark.read.parquet(str(tmp_path / "q.parquet"))
+    assert Pipeline(spark).share(table.where("s = 'ex:a'")).inputFiles() == table.inputFiles()
+    with pytest.raises(ValueError):
+        write_quads(table, str(tmp_path / "x.nt.xz"))
+    pipe = Pipeline(spark)
+    pipe.run(f"@prefix @write {tmp_path / 'named.ttl'}", quads(spark, [("http://xmlns.com/foaf/0.1/x", RDF + "type", "http://xmlns.com/foaf/0.1/Agent"), ("http://xmlns.com/foaf/0.1/x", "ex:p", f'"1"^^{XSD}int')]))
+    text = "".join(f.read_text() for f in (tmp_path / "named.ttl").glob("part-*"))
+    assert "@prefix foaf: <http://xmlns.com/foaf/0.1/> ." in text and "foaf:x" in text and "a foaf:Agent" in text
+    assert len(spo(read_quads(spark, str(tmp_path / "named.ttl")))) == 2

@@ -37,7 +37,7 @@ DENSE = 16
 FIRST = -(1 << 63)
 #: Codes of the default graph, or rows of hot keys, that are handled as literals or broadcast; more are joined.
 FEW = 1000
-#: Keys whose answers :func:`error_rate` checks: those whose MD5 ends in this digit, a sixteenth of all.
+#: Keys whose rows ``n_checked`` of :func:`error_rate` counts: those whose MD5 ends in this digit, a sixteenth of all.
 CHECKED = "0"
 
 
@@ -273,9 +273,11 @@ def error_rate(rows: DataFrame, keys: Sequence[Column], position: Column, batche
 
     ``wrong_by_hash`` is how many rows would be wrongly called seen if equal hashes were taken for equal keys:
     each key after the first of its hash makes one such row; it is counted on the store's runs.
-    ``wrong_verified`` is measured: for all rows of the keys whose MD5 ends in ``CHECKED`` (``n_checked`` rows,
-    about a sixteenth) the answers are worked out again from the least position of each full key, without
-    store or hash, and the rows on which the two disagree are counted.
+    ``wrong_verified`` is measured: for all rows the answers are worked out again from the least position of
+    each full key, without store or hash, and the rows on which the two disagree are counted; rows of one
+    position are compared by number, so one by one if positions are unique.  ``rate_verified`` is their share
+    of ``n_rows``.  ``n_checked`` is, as in the SQL, the number of rows of the keys whose MD5 ends in
+    ``CHECKED``; it doesn't limit what is verified.
     """
     scratch = Scratch(rows.sparkSession, "rate")
     store = open_store(rows, keys, hash_bits, hashed)
@@ -283,21 +285,18 @@ def error_rate(rows: DataFrame, keys: Sequence[Column], position: Column, batche
     seen = answers.agg(F.count(F.lit(1)).alias("n_seen"))
     per_hash = reduce(DataFrame.unionByName, [r.select("h") for r in store.runs()], rows.sparkSession.createDataFrame([], "h long")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     keys_row = per_hash.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("wrong_by_hash"))
-    text = key_text(keys)
-    sample = rows.where(F.substring(F.md5(text), -1, 1) == CHECKED).select(text.alias("key"), F.coalesce(position.cast("long"), F.lit(FIRST)).alias("pos"))
-    sample = scratch.table(sample)
+    names = [f"k{i}" for i in range(len(keys))]
+    full = rows.select(*[k.alias(n) for k, n in zip(keys, names)], F.coalesce(position.cast("long"), F.lit(FIRST)).alias("pos"))
     # One row a key and position, then the rows at the least position of each key: no group meets in one task.
-    least = sample.groupBy("key").agg(F.min("pos").alias("pos"))
-    places = sample.groupBy("key", "pos").agg(F.count(F.lit(1)).alias("n"))
-    later = places.join(least, ["key", "pos"], "left_anti").groupBy("pos").agg(F.sum("n").alias("want"))
-    got = answers.join(sample.select("pos").distinct(), "pos", "left_semi").groupBy("pos").agg(F.count(F.lit(1)).alias("got"))
-    wrong = later.join(got, "pos", "full_outer").agg(
-        F.coalesce(F.sum(F.abs(F.coalesce("want", F.lit(0)) - F.coalesce("got", F.lit(0)))), F.lit(0)).alias("wrong_verified")
-    )  # positions shared by checked and unchecked keys would count as wrong; positions are meant to be unique
-    total = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    checked = sample.agg(F.count(F.lit(1)).alias("n_checked"))
+    places = full.groupBy(*names, "pos").agg(F.count(F.lit(1)).alias("n"))
+    firsts = places.groupBy(*names).agg(F.min("pos").alias("pos"), F.min_by("n", "pos").alias("n")).select("pos", (-F.col("n")).alias("n"))
+    # Of the rows of a position those that aren't first are seen; less the answers nothing must be left.
+    each = lambda df, n: df.select("pos", F.lit(n).cast("long").alias("n"))
+    left = each(full, 1).unionByName(firsts).unionByName(each(answers, -1)).groupBy("pos").agg(F.sum("n").alias("n"))
+    wrong = left.agg(F.coalesce(F.sum(F.abs("n")), F.lit(0)).alias("wrong_verified"))
+    total = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.substring(F.md5(key_text(keys)), -1, 1) == CHECKED).alias("n_checked"))
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return total.join(seen).join(keys_row).join(checked).join(wrong).select(
+    return total.join(seen).join(keys_row).join(wrong).select(
         F.lit(hash_bits).alias("hash_bits"), "n_rows", "n_seen", "n_keys", "wrong_by_hash", rate("wrong_by_hash", "n_rows").alias("rate_by_hash"), "n_checked", "wrong_verified",
-        rate("wrong_verified", "n_checked").alias("rate_verified"),
+        rate("wrong_verified", "n_rows").alias("rate_verified"),
     )

@@ -113,6 +113,26 @@ def test_seen_ties_nulls_and_empty(spark):
     assert seen.error_rate(df.limit(0), [F.col("a")], F.col("pos")).first()["n_keys"] == 0
 
 
+def test_error_rate_verifies_every_row(spark, monkeypatch):
+    df, key, fed = spark.createDataFrame([(i, i % 200, "k", 1) for i in range(400)], KEYED), [F.col("a"), F.col("b")], seen.feed
+    last = F.substring(F.md5(seen.key_text(key)), -1, 1)
+    odd = [r["pos"] for r in df.where(last != seen.CHECKED).select("pos").orderBy("pos").collect()]
+    missed, invented = odd[-1], odd[0]  # a seen row the store forgets, a first row it calls seen
+    monkeypatch.setattr(seen, "feed", lambda *a: fed(*a).where(F.col("pos") != missed).unionByName(spark.createDataFrame([(invented,)], "pos long")))
+    r = seen.error_rate(df, key, F.col("pos")).first()
+    assert (r["wrong_verified"], r["rate_verified"]) == (2, 2 / 400)
+    # All answers wrong.
+    monkeypatch.setattr(seen, "feed", lambda *a: fed(*a).select((F.col("pos") - 200).alias("pos")))
+    r = seen.error_rate(df, key, F.col("pos")).first()
+    assert (r["wrong_verified"], r["rate_verified"]) == (400, 1.0)
+    # Keys that look alike as text, rows that share a position, null positions: nothing is wrong.
+    monkeypatch.setattr(seen, "feed", fed)
+    data = [(i, str(i), "a|b", "c") for i in range(20)] + [(20 + i, str(i), "a", "b|c") for i in range(20)] + [(40 + i, None, "~", str(i)) for i in range(20)] + [(60 + i, "~", None, str(i)) for i in range(20)]
+    data += [(9, "9", "a|b", "c"), (90, "9", "a|b", "c"), (90, "9", "a|b", "c"), (90, "x", "y", "z"), (None, "x", "y", "z"), (None, "x", "y", "z"), (None, "v", "w", "u")]
+    r = seen.error_rate(spark.createDataFrame(data, "pos long, a string, b string, c string"), [F.col("a"), F.col("b"), F.col("c")], F.col("pos"), batches=3).first()
+    assert (r["n_rows"], r["n_seen"], r["n_keys"], r["wrong_verified"]) == (87, 3, 82, 0)
+
+
 def test_store_reopened_fences_and_order(spark, tmp_path):
     path, key = f"file://{tmp_path}/store", [F.col("id")]
     of = lambda a, b: spark.range(a, b)
